@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import twintable
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions of this package travel to the executors by value, so these need no copy of it.
+cloudpickle.register_pickle_by_value(twintable)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder of tables."""
