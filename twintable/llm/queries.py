@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from twintable.functions.names import clean_name
 from twintable.llm.components import connected_groups
 from twintable.llm.knn import nearest
+from twintable.llm.packing import pack
+from twintable.llm.prose import odd_share, odd_texts
 from twintable.llm.setjoin import similar_sets
 from twintable.llm.survivorship import best_values, duplicate_groups, latent_truth, surviving_records
+from twintable.llm.tokens import encode_corpus, load
 from twintable.plans.problem_queries import clean_sql
 from twintable.runtime import cut, table
 
@@ -85,6 +88,26 @@ def p5_truth(spark: SparkSession, folder: str) -> DataFrame:
     return truth.select(F.col("entity").alias("group_id"), F.col("value").alias("sot_table"), "probability", (F.col("probability") >= 0.5).alias("judged_true"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(table(spark, folder, "documents"), "doc_id", "text", load()).select(F.col("id").alias("doc_id"), "ids")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each review, in tokens, in a container of 2,048; longer ones in pieces."""
+    sizes = p7_ids(spark, folder).select("doc_id", F.size("ids").alias("n"))
+    return pack(sizes, "doc_id", "n", 2048).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return odd_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each text that is no running language, and its cost under the prose model."""
+    scored = odd_share(table(spark, folder, "documents"), "doc_id", "text")
+    return scored.select(F.col("id").alias("doc_id"), F.round("share", 6).alias("odd_share"), F.round("nats", 6).alias("nats_per_token"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ratios": p1_ratios,
@@ -93,6 +116,10 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p5_truth": p5_truth,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 _PAIRS = f"""
