@@ -72,6 +72,12 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(recommendation_groups(spark, folder), values, "table", ["read_count", "last_write", "job_count"])
 
 
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The records as text, '' for a field that no table of the group has."""
+    text = {"read_count": F.col("read_count").cast("string"), "last_write": F.date_format("last_write", "yyyy-MM-dd HH:mm:ss"), "job_count": F.col("job_count").cast("string")}
+    return p5_records(spark, folder).select("group_id", "survivor", *[F.coalesce(c, F.lit("")).alias(n) for n, c in text.items()])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_records(spark, folder).select("group_id", F.col("survivor").alias("sot_table"))
 
@@ -114,7 +120,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
-    "p5_records": p5_records,
+    "p5_records": p5_report,
     "p5_truth": p5_truth,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
@@ -184,5 +190,6 @@ filled AS (
     arg_min(last_write, r) FILTER (WHERE last_write IS NOT NULL) AS last_write,
     arg_min(job_count, r) FILTER (WHERE job_count IS NOT NULL) AS job_count
   FROM ranked GROUP BY group_id)
-SELECT * FROM filled""",
+SELECT group_id, survivor, coalesce(read_count::VARCHAR, '') AS read_count,
+  coalesce(strftime(last_write, '%Y-%m-%d %H:%M:%S'), '') AS last_write, coalesce(job_count::VARCHAR, '') AS job_count FROM filled""",
 }
