@@ -15,7 +15,7 @@ from twintable.runtime import cut, parallelism
 #: Vectors that the index is fitted on at most: those with the smallest hashes of their names. All are indexed.
 FIT_ROWS = 20_000
 #: Vectors a cell holds on average, and the most cells there are.
-CELL_ROWS, MOST_CELLS = 600, 4_096
+CELL_ROWS, MOST_CELLS = 2_000, 4_096
 #: Rows of a block, on either side.
 BLOCK_ROWS = 4_000
 
@@ -128,7 +128,7 @@ def _directions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def nearest(
     df: DataFrame, name: str, vector: str, dims: int = 64, k: int = 5, least: float = 0.8,
-    probes: int = 8, rerank: int = 48, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS,
+    probes: int = 10, rerank: int = 32, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``name, neighbour, cosine``: the ``k`` most similar other names of every name, as far as cosine >= ``least``.
 
