@@ -57,7 +57,7 @@ def cosine_pairs(df: DataFrame, name: str = "full_table_name", vector: str = "em
     def run(block: pd.DataFrame) -> pd.DataFrame:
         a, b = block[block.side == 0], block[block.side == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"table_a": [], "table_b": [], "cosine_similarity": []})
+            return pd.DataFrame(columns=["table_a", "table_b", "cosine_similarity"], dtype=object)
         s = _unit(a.v) @ _unit(b.v).T
         x, y = np.nonzero(s >= threshold - 1e-12)
         na, nb = a.name.to_numpy()[x], b.name.to_numpy()[y]
@@ -81,7 +81,7 @@ def top_neighbors(df: DataFrame, name: str = "full_table_name", vector: str = "e
     def run(block: pd.DataFrame) -> pd.DataFrame:
         a, b = block[block.side == 0], block[block.side == 1].sort_values("name")
         if not len(a) or not len(b) or not k:
-            return pd.DataFrame({"source_table": [], "target_table": [], "similarity_score": []})
+            return pd.DataFrame(columns=["source_table", "target_table", "similarity_score"], dtype=object)
         s = np.round(_unit(a.v) @ _unit(b.v).T, 9)
         na, nb = a.name.to_numpy(), b.name.to_numpy()
         s[na[:, None] == nb[None]] = -2
@@ -101,7 +101,8 @@ def lsh_pairs(
     tables: int = 5, bucket_length: float = 2.0, seed: int = 42,
 ) -> DataFrame:
     """Like ``cosine_pairs`` with candidates from random-projection hashing: exact values, approximate recall."""
-    v = _vectors(df, name, vector).withColumn("x", array_to_vector(normalize("v"))).select("name", "x")
+    some = _vectors(df, name, vector).where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
+    v = cut(some).select("name", array_to_vector(normalize("v")).alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", numHashTables=tables, bucketLength=bucket_length, seed=seed).fit(v)
     near = model.approxSimilarityJoin(v, v, distance_of_cosine(threshold) + 1e-12, "d")
     return near.where("datasetA.name < datasetB.name").select(
@@ -114,7 +115,7 @@ def clusters(df: DataFrame, name: str = "full_table_name", vector: str = "embedd
 
     Without ``k`` it is the square root of half the number of tables, 2 at least.
     """
-    v = cut(_vectors(df, name, vector).withColumn("x", array_to_vector("v")))
+    v = cut(_vectors(df, name, vector)).withColumn("x", array_to_vector("v"))
     k = k or max(2, floor(sqrt(v.count() / 2)))
     found = KMeans(featuresCol="x", predictionCol="cluster_id", k=k, seed=seed).fit(v).transform(v)
     sized = found.withColumn("cluster_size", F.count("*").over(Window.partitionBy("cluster_id")))
@@ -123,7 +124,7 @@ def clusters(df: DataFrame, name: str = "full_table_name", vector: str = "embedd
 
 def projection(df: DataFrame, name: str = "full_table_name", vector: str = "embedding") -> DataFrame:
     """``full_table_name, vis_x, vis_y``: the first two principal components of the unit vectors."""
-    v = cut(_vectors(df, name, vector).select("name", array_to_vector(normalize("v")).alias("x")))
+    v = cut(_vectors(df, name, vector)).select("name", array_to_vector(normalize("v")).alias("x"))
     xy = vector_to_array("p")
     return PCA(k=2, inputCol="x", outputCol="p").fit(v).transform(v).select(F.col("name").alias("full_table_name"), xy[0].alias("vis_x"), xy[1].alias("vis_y"))
 
