@@ -43,10 +43,9 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select("table_a", "table_b", "common_source_count", F.round("source_overlap_ratio", 6).alias("source_overlap_ratio"))
 
 
-def q04_common_ancestors_theta(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairwise comparison, on the tables of one catalog."""
-    r = lineage.rollup(demo.catalog(spark, folder), DAYS).where(F.col("target_table_full_name").startswith("lumora."))
-    return _pairs(lineage.common_ancestors(r, 0.5, strategy="theta"))
+def q04_common_ancestors_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair with a common source in the shorter window, whatever its ratio."""
+    return _pairs(lineage.common_ancestors(_rollup(spark, folder, DAYS)))
 
 
 def q05_common_ancestors(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,10 +325,9 @@ FROM ups WHERE {_since(DAYS)} GROUP BY ALL""",
     "q02_lineage_of_catalog": f"""WITH {_LIN} SELECT s AS source_table_full_name, t AS target_table_full_name, count(*) AS event_count
 FROM ups WHERE {_since(DAYS)} AND (split_part(s, '.', 1) = 'lumora' OR split_part(t, '.', 1) = 'lumora') GROUP BY s, t""",
     "q03_parents": f"WITH {_EDGES} SELECT t AS full_table_name, string_agg(s, ' ' ORDER BY s) AS source_tables, count(*) AS source_count FROM e GROUP BY t",
-    "q04_common_ancestors_theta": f"""WITH {_LIN}, p AS (
-  SELECT t, list(DISTINCT s) AS l FROM ups WHERE {_since(DAYS)} AND t LIKE 'lumora.%' GROUP BY t),
+    "q04_common_ancestors_all": f"""WITH {_LIN}, p AS (SELECT t, list(DISTINCT s) AS l FROM ups WHERE {_since(DAYS)} GROUP BY t),
 c AS (SELECT x.t AS a, y.t AS b, len(list_intersect(x.l, y.l)) AS k, least(len(x.l), len(y.l)) AS m FROM p x JOIN p y ON x.t < y.t)
-SELECT a AS table_a, b AS table_b, k AS common_source_count, round(k / m, 6) AS source_overlap_ratio FROM c WHERE k > 0 AND k / m >= 0.5""",
+SELECT a AS table_a, b AS table_b, k AS common_source_count, round(k / m, 6) AS source_overlap_ratio FROM c WHERE k > 0""",
     "q05_common_ancestors": f"WITH {_ANC} SELECT a AS table_a, b AS table_b, k AS common_source_count, round(ratio, 6) AS source_overlap_ratio FROM anc WHERE ratio >= 0.5",
     "q06_common_sources": f"""WITH {_ANC}, l AS (SELECT t, list_sort(list(s)) AS l FROM e GROUP BY t)
 SELECT a AS table_a, b AS table_b, array_to_string(x.l, ' ') AS sources_a, array_to_string(y.l, ' ') AS sources_b,
