@@ -32,6 +32,11 @@ def test_nulls_self_repeats_reversed_empty(spark):
     assert run(spark, []) == set()
 
 
+def test_crowded_cells_are_sliced(spark):
+    pairs = [("hub", f"leaf{i}") for i in range(3000)] + [(f"leaf{i}", f"tail{i}") for i in range(0, 3000, 7)]
+    assert run(spark, pairs, cell_links=60) == brute(pairs)
+
+
 def test_chain_hub_and_random_over_a_fine_grid(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(150)]
     hub = [("hub", f"leaf{i}") for i in range(200)]

@@ -44,8 +44,9 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_links: int = CELL_LI
     that is, until parents are stable; the parents of all rounds, applied last round first, give the group.
     Representatives are compared by hash first, so that chains in name order shrink as fast as others.
 
-    The links of a hub lie in a whole row and column of cells, so no task holds all of them, and a vertex
-    sends at most one row per cell of its row and column. Defined cases: a null end, a record paired with
+    The links of a hub lie in a whole row and column of cells, so no task holds all of them; cells that are
+    crowded nevertheless are sliced (at most a quarter as many as there are cells, so their list is small). A
+    vertex sends at most one row per slice of its row and column. Defined cases: a null end, a record paired with
     itself, repeated and reversed pairs add no link; no pairs give no rows; other columns are ignored.
     """
     spark, col = pairs.sparkSession, F.col
@@ -61,7 +62,13 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_links: int = CELL_LI
         g = max(ceil(sqrt(n / cell_links)), ceil(sqrt(min(parallelism(spark), n / 1000))), 1)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(g))
         cells = links.withColumn("row", block("a")).withColumn("column", block("b"))
-        stars = cut(cells.groupBy("row", "column").applyInPandas(_local_union_find, "v string, root string").distinct())
+        cells = cells.withColumn("slice", F.lit(0))
+        if n > 4 * cell_links:
+            crowded = cells.groupBy("row", "column").agg(F.count("*").alias("k")).where(col("k") > 4 * cell_links)
+            slices = F.broadcast(cut(crowded.select("row", "column", F.ceil(col("k") / cell_links).cast("int").alias("slices"))))
+            spread = F.pmod(F.xxhash64("a", "b"), F.coalesce("slices", F.lit(1))).cast("int")
+            cells = cells.join(slices, ["row", "column"], "left").withColumn("slice", spread)
+        stars = cut(cells.groupBy("row", "column", "slice").applyInPandas(_local_union_find, "v string, root string").distinct())
         up = cut(stars.groupBy("v").agg(F.min("root").alias("p")))
         parents.append(up.where("v <> p"))
         seen = stars.join(up, "v").select(col("p").alias("a"), col("root").alias("v")).distinct()
