@@ -46,3 +46,12 @@ def test_empty_and_zero(spark):
     assert pack(df, "k", "n", 10).count() == 0
     zero = spark.createDataFrame([(1, 0), (2, None)], "k bigint, n int")
     assert {(r.id, r.piece, r.size, r.container) for r in pack(zero, "k", "n", 10).collect()} == {(1, 0, 0, 0), (2, 0, 0, 0)}
+
+
+def test_repeated_rows_are_items_of_their_own(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10), (1, 25), (2, 6), (2, 6), (2, 6)], "k bigint, n int")
+    rows = pack(df, "k", "n", 10).collect()
+    load = {}
+    for r in rows:
+        load[r.container] = load.get(r.container, 0) + r.size
+    assert sorted(load.values()) == [5, 6, 6, 6, 10, 10, 10, 10]

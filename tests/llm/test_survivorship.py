@@ -39,3 +39,14 @@ def test_latent_truth_finds_bad_source_and_several_true_values(spark):
 def test_empty(spark):
     truth, quality = latent_truth(spark.createDataFrame([], "entity string, value string, source string"), rounds=1)
     assert truth.count() == 0 and quality.count() == 0
+
+
+def test_empty_tables_ties_and_repeats(spark):
+    groups = spark.createDataFrame([("b", "a"), ("a", "a"), ("b", "a")], "member string, group_id string")
+    none = spark.createDataFrame([], "t string, reads bigint, at timestamp")
+    ok = {"reads": F.col("reads") >= 0}
+    assert [r.survivor for r in surviving_records(groups, best_values(none, "t", "at", ok), "t", ["reads"]).collect()] == ["a"]
+    assert surviving_records(groups.limit(0), best_values(none, "t", "at", ok), "t", ["reads"]).count() == 0
+    at = D(2026, 1, 1)
+    same = spark.createDataFrame([("a", 3, at), ("a", 4, at), ("a", 4, at), ("a", 9, None)], "t string, reads bigint, at timestamp")
+    assert [r.reads for r in best_values(same, "t", "at", ok).collect()] == [4]

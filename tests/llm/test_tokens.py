@@ -54,3 +54,10 @@ def test_corpus(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode_corpus(df, "doc_id", "text", BPE).count() == 0
+
+
+def test_repeated_rows_give_a_row_each(spark):
+    text = "some words that are long enough to be cut into more than one chunk, in the usual manner, " * 3
+    df = spark.createDataFrame([("a", text), ("a", text), ("a", "other"), (None, "x")], "k string, t string")
+    rows = [(r.id, list(r.ids)) for r in encode_corpus(df, "k", "t", BPE).collect()]
+    assert sorted(rows, key=str) == sorted([("a", whole(text)), ("a", whole(text)), ("a", whole("other")), (None, whole("x"))], key=str)

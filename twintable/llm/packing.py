@@ -89,7 +89,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, part_items: int =
     containers per partition, so that no round but the first handles more than a small share of the items.
 
     Containers are numbered 0, 1, 2 ... Defined cases: a null or negative size counts as 0; items of size 0 take
-    no room and go into container 0; equal items are placed in order of key; an empty table gives no rows.
+    no room and go into container 0; equal items are placed in order of key; repeated keys and rows are items of
+    their own; an empty table gives no rows.
     """
     spark, col = items.sparkSession, F.col
     base = items.select(col(key).alias("id"), F.greatest(F.coalesce(col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("whole"))
@@ -122,7 +123,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, part_items: int =
     alone = full.select("id", "piece", "size", F.lit(-1).alias("level"), spread(first_parts, -1).alias("part"), F.lit(0).cast("bigint").alias("box"), col("id").alias("i"), col("piece").alias("j"))
     # Dense numbers: containers are numbered within their partition, partitions start where the ones before end.
     w = Window.partitionBy("level", "part").orderBy("box", "i", "j")
-    ranked = cut(rows.unionByName(alone).withColumn("r", F.dense_rank().over(w) - 1))
+    number = F.when(col("level") < 0, F.row_number().over(w)).otherwise(F.dense_rank().over(w))
+    ranked = cut(rows.unionByName(alone).withColumn("r", number - 1))
     counts = ranked.groupBy("level", "part").agg((F.max("r") + 1).alias("m"))
     starts = counts.select("level", "part", (F.sum("m").over(Window.orderBy("level", "part")) - col("m")).alias("start"))
     numbered = ranked.join(F.broadcast(starts), ["level", "part"]).select("id", "piece", "size", (col("start") + col("r")).cast("bigint").alias("container"))

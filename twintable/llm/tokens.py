@@ -89,15 +89,16 @@ def chunk_ends(texts: list[str]) -> list[list[int]]:
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b.text.tolist()
-        ids, pos, chunks = [], [], []
-        for key, text, ends in zip(b.id, texts, chunk_ends(texts)):
+        rows, ids, pos, chunks = [], [], [], []
+        for row, key, text, ends in zip(b["row"], b["id"], texts, chunk_ends(texts)):
             start = 0
             for k, end in enumerate(ends):
+                rows.append(row)
                 ids.append(key)
                 pos.append(k)
                 chunks.append(text[start:end])
                 start = end
-        yield pd.DataFrame({"id": ids, "pos": pos, "chunk": chunks}).astype({"id": "int64", "pos": "int32", "chunk": "object"})
+        yield pd.DataFrame({"row": rows, "id": ids, "pos": pos, "chunk": chunks}).astype({"chunk": "object"})
 
 
 def _encode(bpe: BytePairs):
@@ -163,7 +164,7 @@ def _assemble(bpe: BytePairs):
                     done.append(np.asarray(parts[0]["ids"], np.int32))
                 else:
                     done.append(np.array(_mend([p["chunk"] for p in parts], [p["ids"] for p in parts], [p["tail"] for p in parts], [p["tail_n"] for p in parts], piece, pattern), np.int32))
-            yield pd.DataFrame({"id": b.id, "ids": done})
+            yield pd.DataFrame({"id": b["id"], "ids": done})
 
     return run
 
@@ -177,11 +178,13 @@ def encode_corpus(docs: DataFrame, key: str, text: str, bpe: BytePairs) -> DataF
     salted on both sides, so that no task of the join gets all rows of one chunk.
 
     Defined cases: the null and the empty text give the empty list; text is taken as it is, whole, of any
-    length, and strings that look like special tokens are ordinary text; ``key`` must be unique.
+    length, and strings that look like special tokens are ordinary text; a repeated key or row gives a row each.
     """
     spark, col = docs.sparkSession, F.col
     base = docs.select(col(key).alias("id"), col(text).alias("text"))
-    chunks = base.where("text is not null and text <> ''").mapInPandas(_split, "id bigint, pos int, chunk string")
+    kind = docs.schema[key].dataType.simpleString()
+    texts = base.where("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id())
+    chunks = texts.mapInPandas(_split, f"row bigint, id {kind}, pos int, chunk string")
     chunks = cut(chunks.withColumn("chunk_key", F.unhex(F.md5("chunk"))))
     once = chunks.groupBy("chunk_key").agg(F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
     coded = cut(once.mapInPandas(_encode(bpe), "chunk_key binary, copies bigint, ids array<int>, tail int, tail_n int"))
@@ -189,9 +192,9 @@ def encode_corpus(docs: DataFrame, key: str, text: str, bpe: BytePairs) -> DataF
     tasks = parallelism(spark)
     limit = max(1000, ceil(total / (4 * tasks)))
     hot = F.broadcast(coded.where(col("copies") > limit).select("chunk_key", F.ceil(4 * col("copies") / limit).cast("int").alias("salts")))
-    left = chunks.join(hot, "chunk_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), col("salts")), F.lit(0)).cast("int")).drop("salts")
+    left = chunks.join(hot, "chunk_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), col("salts")), F.lit(0)).cast("int")).drop("salts")
     right = coded.join(hot, "chunk_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "copies")
-    parts = left.join(right, ["chunk_key", "salt"]).groupBy("id").agg(F.collect_list(F.struct("pos", "chunk", "ids", "tail", "tail_n")).alias("parts"))
-    whole = parts.mapInPandas(_assemble(bpe), "id bigint, ids array<int>")
+    parts = left.join(right, ["chunk_key", "salt"]).groupBy("row", "id").agg(F.collect_list(F.struct("pos", "chunk", "ids", "tail", "tail_n")).alias("parts"))
+    whole = parts.mapInPandas(_assemble(bpe), f"id {kind}, ids array<int>")
     empty = base.where("text is null or text = ''").select("id", F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(empty)
