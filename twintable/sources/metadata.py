@@ -82,3 +82,23 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
     if mode not in ("overwrite", "append"):
         raise ValueError(f"unknown mode: {mode}")
     df.write.mode(mode).saveAsTable(name)
+
+
+def append_into(df: DataFrame, name: str) -> None:
+    """Append to an existing typed table by column name; values are cast to its types under the store-assignment rules."""
+    df.sparkSession.table(name)  # fails early if the table is missing
+    df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
+
+
+def session_relations(spark: SparkSession, databases: list[str] | None = None) -> dict[str, DataFrame]:
+    """``tables`` and ``columns`` of the session catalog (metadata only, no table is read)."""
+    tables, columns = [], []
+    catalog = spark.catalog.currentCatalog()
+    for db in databases or [d.name for d in spark.catalog.listDatabases()]:
+        for t in spark.catalog.listTables(db):
+            if t.isTemporary:
+                continue
+            tables.append((catalog, db, t.name, t.tableType, None, None, t.description))
+            for i, c in enumerate(spark.catalog.listColumns(f"{db}.{t.name}"), 1):
+                columns.append((catalog, db, t.name, c.name, c.dataType.upper(), "YES" if c.nullable else "NO", None, c.description, i))
+    return {"tables": spark.createDataFrame(tables, SCHEMAS["tables"]), "columns": spark.createDataFrame(columns, SCHEMAS["columns"])}
