@@ -155,16 +155,28 @@ def _mend(chunks: list[str], coded: list, tails: list[int], tail_ns: list[int],
 
 def _assemble(bpe: BytePairs):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by text and position; a text may go on in the next batch."""
         piece, pattern = bpe.ready()
+        row, key, held = None, None, []
+
+        def whole() -> np.ndarray:
+            if len(held) == 1:
+                return held[0][1]
+            chunks, coded, tails, tail_ns = zip(*held)
+            return np.array(_mend(chunks, coded, tails, tail_ns, piece, pattern), np.int32)
+
         for b in batches:
-            done = []
-            for parts in b.parts:
-                parts = sorted(parts, key=lambda p: p["pos"])
-                if len(parts) == 1:
-                    done.append(np.asarray(parts[0]["ids"], np.int32))
-                else:
-                    done.append(np.array(_mend([p["chunk"] for p in parts], [p["ids"] for p in parts], [p["tail"] for p in parts], [p["tail_n"] for p in parts], piece, pattern), np.int32))
-            yield pd.DataFrame({"id": b["id"], "ids": done})
+            keys, ids = [], []
+            for r, k, *part in zip(*(b[c] for c in ("row", "id", "chunk", "ids", "tail", "tail_n"))):
+                if r != row:
+                    if held:
+                        keys.append(key)
+                        ids.append(whole())
+                    row, key, held = r, k, []
+                held.append(part)
+            yield pd.DataFrame({"id": keys, "ids": ids}, dtype=object)
+        if held:
+            yield pd.DataFrame({"id": [key], "ids": [whole()]}, dtype=object)
 
     return run
 
@@ -194,7 +206,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, bpe: BytePairs) -> DataF
     hot = F.broadcast(coded.where(col("copies") > limit).select("chunk_key", F.ceil(4 * col("copies") / limit).cast("int").alias("salts")))
     left = chunks.join(hot, "chunk_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), col("salts")), F.lit(0)).cast("int")).drop("salts")
     right = coded.join(hot, "chunk_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "copies")
-    parts = left.join(right, ["chunk_key", "salt"]).groupBy("row", "id").agg(F.collect_list(F.struct("pos", "chunk", "ids", "tail", "tail_n")).alias("parts"))
-    whole = parts.mapInPandas(_assemble(bpe), f"id {kind}, ids array<int>")
+    parts = left.join(right, ["chunk_key", "salt"]).select("row", "id", "pos", "chunk", "ids", "tail", "tail_n")
+    whole = parts.repartition("row").sortWithinPartitions("row", "pos").mapInPandas(_assemble(bpe), f"id {kind}, ids array<int>")
     empty = base.where("text is null or text = ''").select("id", F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(empty)
