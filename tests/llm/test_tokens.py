@@ -30,6 +30,21 @@ def test_any_cut_is_mended(text, data):
     assert by_chunks(text, ends) == whole(text)
 
 
+def test_every_cut_in_contractions_is_mended():
+    for text in ["we'll be", "we've been", "they're a", "'ll", "'re're", "!'ll", " 've", "we'lx", "we''ve", "a'r'll ve", "we'll've", "l'l", "日'll"]:
+        inner = range(1, len(text))
+        for cuts in [*([i] for i in inner), *([i, j] for i in inner for j in inner if i < j), list(inner)]:
+            assert by_chunks(text, [*cuts, len(text)]) == whole(text), (text, cuts)
+
+
+def test_contractions_cut_in_the_corpus(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["we'll", "they've", "you're", "been", "going", "there", "soon"]) for _ in range(400)) for _ in range(60)]
+    inside = sum(t[e - 2 : e + 1] in ("'ll", "'ve", "'re") for t, ends in zip(texts, chunk_ends(texts)) for e in ends)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert inside and {r.id: list(r.ids) for r in encode_corpus(df, "doc_id", "text", BPE).collect()} == {i: whole(t) for i, t in enumerate(texts)}
+
+
 def test_chunks_cover_and_are_shared():
     rnd = random.Random(1)
     common = "".join(rnd.choice("abcdefgh ijk") for _ in range(3000))

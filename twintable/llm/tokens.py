@@ -121,11 +121,19 @@ def _mend(chunks: list[str], coded: list, tails: list[int], tail_ns: list[int],
     """Ids of the whole text from those of its chunks.
 
     Pieces of a chunk that end before its end are the same in the whole text, as a piece depends on nothing
-    before its start. At each join the open last piece of the text so far is encoded again, together with the
-    new chunk, until a piece ends where one of the chunk's own pieces ends; from there the chunk's ids hold.
+    before its start; but an apostrophe before a last piece l, v or r may become part of 'll, 've or 're. At each
+    join the open last piece (with such an apostrophe) of the text so far is encoded again, together with the new
+    chunk, until a piece ends where one of the chunk's own pieces ends; from there the chunk's ids hold.
     """
+
+    def reopened(text: str, last: str, n: int) -> tuple[str, int]:
+        """What stays open of a text that begins with a piece: ``last``, of ``n`` ids, or the apostrophe before it too."""
+        if last in ("l", "v", "r") and text.endswith("'" + last) and pattern.findall(text)[-2] == "'":
+            return "'" + last, n + len(piece("'"))
+        return last, n
+
     out = list(coded[0])
-    open_text, open_n = chunks[0][len(chunks[0]) - tails[0] :], tail_ns[0]
+    open_text, open_n = reopened(chunks[0], chunks[0][len(chunks[0]) - tails[0] :], tail_ns[0])
     for text, ids, tail, tail_n in zip(chunks[1:], coded[1:], tails[1:], tail_ns[1:]):
         joined = open_text + text
         shift = len(open_text)
@@ -147,9 +155,9 @@ def _mend(chunks: list[str], coded: list, tails: list[int], tail_ns: list[int],
         out.extend(fresh)
         out.extend(ids[own_n:])
         if agreed == len(joined):
-            open_text, open_n = joined[start:], len(last)
+            open_text, open_n = reopened(joined, joined[start:], len(last))
         else:
-            open_text, open_n = text[len(text) - tail :], tail_n
+            open_text, open_n = reopened(joined, text[len(text) - tail :], tail_n)
     return out
 
 
