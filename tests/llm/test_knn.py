@@ -29,6 +29,19 @@ def test_recall_against_brute_force(spark):
     assert len(got - want) <= 0.05 * len(got)
 
 
+def test_recall_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2400, 64))
+    x[:800] = rng.standard_normal(64) + 0.15 * rng.standard_normal((800, 64))
+    x[800:] = x[800 + rng.integers(0, 200, 1600)] + 0.35 * rng.standard_normal((1600, 64))
+    x = x.astype(np.float32)
+    names = [f"t{i:04}" for i in range(len(x))]
+    got = run(spark, [(n, v.tolist()) for n, v in zip(names, x)], cell_rows=600)
+    want = brute(names, x.astype(float), 5, 0.8)
+    group = {w for w in want if w[0] < "t0800"}
+    assert len(group) == 4000 and got == want
+
+
 def test_unusable_vectors_ties_and_copies(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(f"same{i}", [2 * x for x in v] if i % 2 else v) for i in range(9)]

@@ -96,6 +96,14 @@ class AnisotropicIndex:
             codes = np.concatenate([codes, np.zeros((len(x), 1), codes.dtype)], axis=1)
         return cell, (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, cell: int, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of unit vectors of one cell: the part of the codes' error along the vector, and the length of the part across."""
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(x), -1)[:, : self.s]
+        x = x.astype(np.float64)
+        error = x - self.centres[cell] - self.words[np.arange(self.s)[None], codes].reshape(len(x), -1)
+        along = np.einsum("nd,nd->n", error, x)
+        return along, np.sqrt(np.maximum((error**2).sum(1) - along**2, 0.0))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Per query, the scores of all bytes: sums of the look-up tables of two subspaces."""
         t = np.einsum("msw,skw->msk", q.reshape(len(q), self.s, self.w), self.words.astype(np.float32))
@@ -137,8 +145,11 @@ def nearest(
 
     The index is fitted on a bounded sample of ``fit_rows`` vectors; every vector is indexed and every vector
     is a query. A class is stored in the block of its cell and searched for in the blocks of the ``probes``
-    nearest cells: 4-bit tables score the whole block, the best ``rerank`` are scored exactly. Cells with more
-    than BLOCK_ROWS rows on either side are cut by salt, so no task grows with a popular cell.
+    nearest cells: 4-bit tables score the whole block, the best ``rerank`` are scored exactly, and so is every
+    other row that may be as good as the k + 1 best of these: a cosine of t or more gives an approximate score of
+    at least t (1 - a) - sqrt(1 - t^2) b, a and b being the row's error along and across. So nothing in a block is
+    lost to the codes. Cells with more than BLOCK_ROWS rows on either side are cut by salt, so no task grows
+    with a popular cell.
 
     Defined cases: null or blank names, null, wrongly long, non-finite and all-zero vectors take no part; of
     several rows of a name the smallest vector counts; an empty table gives no rows.
@@ -190,6 +201,10 @@ def nearest(
             x, ids = _stack(have.u), have.id.to_numpy()
             queries, asked_by = _stack(ask.u), ask.id.to_numpy()
             r = min(rerank, len(ids))
+            cell = int(have.cell.iloc[0])
+            along, across = (e.astype(np.float32) for e in ix.errors(x, cell, codes))
+            wide = x.astype(np.float64)
+            wide /= np.linalg.norm(wide, axis=1, keepdims=True)
             for at in range(0, len(queries), 256):
                 q, who = queries[at : at + 256], asked_by[at : at + 256]
                 tables = ix.tables(q)
@@ -197,9 +212,23 @@ def nearest(
                 for s in range(codes.shape[1]):
                     score += tables[:, s].take(codes[:, s], axis=1)
                 top = np.argpartition(-score, r - 1, axis=1)[:, :r]
-                exact = np.einsum("md,mrd->mr", q.astype(np.float64), x[top].astype(np.float64))
-                exact /= np.linalg.norm(q, axis=1).astype(np.float64)[:, None] * np.linalg.norm(x, axis=1).astype(np.float64)[top]
+                unit = q.astype(np.float64)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                exact = np.einsum("md,mrd->mr", unit, wide[top])
                 exact[(exact < least - 1e-6) | (ids[top] == who[:, None])] = -2
+                # What a row's cosine must reach: the last place of the reranked rows, if they fill the list.
+                bar = np.maximum(np.partition(exact, -k - 1, axis=1)[:, -k - 1] if r > k else np.full(len(q), -2.0), least) - 1e-6
+                slack = np.sqrt(np.maximum(1 - bar**2, 0.0)).astype(np.float32)
+                bound = bar.astype(np.float32)[:, None] * (1 - along) - slack[:, None] * across - 1e-5
+                bound[bar < 0] = -np.inf  # below 0 the bound doesn't hold
+                able = score + (q @ ix.centres[cell])[:, None] >= bound
+                np.put_along_axis(able, top, False, 1)
+                more = np.nonzero(able.any(1))[0]
+                if len(more):
+                    whole = unit[more] @ wide.T
+                    whole[(whole < least - 1e-6) | (ids == who[more, None])] = -2
+                    deep = np.argpartition(-whole, r - 1, axis=1)[:, :r]
+                    top[more], exact[more] = deep, np.take_along_axis(whole, deep, 1)
                 best = np.argsort(-exact, axis=1)[:, : k + 1]
                 value = np.take_along_axis(exact, best, 1)
                 rows, cols = np.nonzero(value > -2)
