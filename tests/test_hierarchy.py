@@ -78,3 +78,21 @@ def test_random_graph_in_rounds(spark):
 def test_partly_in_rounds(spark):
     links = [(f"t{i // 2}", f"t{i}") for i in range(1, 60)] + [("t3", "t40"), ("t50", "t1")]
     assert run(spark, links, local_links=12) == brute(links)
+
+
+def test_remainder_of_one_task_is_bounded(spark, monkeypatch):
+    from twintable.operators import hierarchy as module
+
+    sizes, finish = [], module._finish_small
+
+    def watched(nodes, edges, sets, paths):
+        sizes.extend([nodes.count(), edges.count(), sets.count()])
+        return finish(nodes, edges, sets, paths)
+
+    monkeypatch.setattr(module, "_finish_small", watched)
+    forest = [(f"root{i}", f"leaf{i}") for i in range(60)]
+    assert run(spark, forest, local_links=10) == brute(forest)
+    core = [(f"c{i}", f"c{j}") for i in range(4) for j in range(4) if i != j]
+    shared = core + [(f"c{i}", f"below{j:02}") for i in range(4) for j in range(20)]
+    assert run(spark, shared, local_links=15) == brute(shared)
+    assert max(sizes) <= 15

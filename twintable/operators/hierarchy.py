@@ -11,7 +11,7 @@ that node; the core's strongly connected parts are found by colouring, merged, a
 Undoing the rounds in reverse order gives every node its facts from its neighbours of that round: distances
 to roots come down from the parents, the set and number of nodes below come up from the child.
 
-As soon as no more than LOCAL_LINKS links are left, whatever the size of the input, one task finishes this
+As soon as no more than LOCAL_LINKS links, nodes and rows of sets each are left, whatever the size of the input, one task finishes this
 checked, bounded remainder (cycles included) and the recorded rounds are undone from its facts.
 
 Nodes with a single parent add a number to it. Only the few with several parents travel upwards as
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from twintable.runtime import cut
 
 ROOT, BELOW, COUNT, CYCLE, SELF = 0, 1, 2, 3, 4
-#: Links (and rows of sets) left at which one task finishes; a fixed bound, not a share of the input.
+#: Links, nodes and rows of sets left, of each, at which one task finishes; a fixed bound, not a share of the input.
 LOCAL_LINKS = 20_000
 
 
@@ -65,12 +65,16 @@ def _states(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
     return s.withColumn("coin", F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2))).withColumn("unary", (F.col("o") == 1) & (F.col("i") == 1))
 
 
+def _few(most: int, *parts: DataFrame) -> bool:
+    return all(p.count() <= most for p in parts)
+
+
 def _contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool, enough: int = -1) -> tuple[list[dict], DataFrame, DataFrame, DataFrame]:
-    """Rake and compress until nothing moves or ``enough`` links and rows of sets are left. Returns the record of each round and what is left of nodes, links, sets."""
+    """Rake and compress until nothing moves or ``enough`` links, nodes and rows of sets are left. Returns the record of each round and what is left of nodes, links, sets."""
     rounds: list[dict] = []
     turn = 0
     while True:
-        if edges.count() <= enough and sets.count() <= enough:
+        if _few(enough, edges, nodes, sets):
             return rounds, nodes, edges, sets
         s, turn = cut(_states(nodes, edges, turn)), turn + 1
         child = s.select(F.col("n").alias("chd"), ((F.col("o") == 0) | (F.col("unary") & (F.col("coin") == 1))).alias("blocked"))
@@ -391,7 +395,7 @@ def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False, lo
     sets = nodes.select(col("n").alias("owner"), col("n").alias("elem"), col("weight").alias("size")).limit(0)
     rounds, core, core_edges, core_sets = _contract(nodes, edges, sets, paths, local_links)
     none = nodes.select(*_facts(col("n"), ROOT, col("n"), F.lit(0))).limit(0)
-    if core_edges.count() <= local_links:
+    if _few(local_links, core_edges, core, core_sets):
         facts = [cut(_finish_small(core, core_edges, core_sets, paths))]
     elif core.isEmpty():
         facts = [none]
