@@ -42,6 +42,17 @@ def test_recall_in_a_group_of_near_copies(spark):
     assert len(group) == 4000 and got == want
 
 
+def test_recall_of_near_copies_in_many_cells(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2400, 64))
+    x[:800] = rng.standard_normal(64) + 0.15 * rng.standard_normal((800, 64))
+    x = x.astype(np.float32)
+    names = [f"t{i:04}" for i in range(len(x))]
+    want = brute(names, x.astype(float), 5, 0.8)
+    got = run(spark, [(n, v.tolist()) for n, v in zip(names, x)], cell_rows=10)
+    assert len(want & got) / len(want) >= 0.9
+
+
 def test_unusable_vectors_ties_and_copies(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(f"same{i}", [2 * x for x in v] if i % 2 else v) for i in range(9)]

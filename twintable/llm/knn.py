@@ -16,6 +16,8 @@ from twintable.runtime import cut, parallelism
 FIT_ROWS = 20_000
 #: Vectors a cell holds on average, and the most cells there are.
 CELL_ROWS, MOST_CELLS = 2_000, 4_096
+#: Of many cells, one in so many is searched at least: near-copies fill whole cells beside one another.
+PROBED = 5
 #: Rows of a block, on either side.
 BLOCK_ROWS = 4_000
 
@@ -145,7 +147,7 @@ def nearest(
 
     The index is fitted on a bounded sample of ``fit_rows`` vectors; every vector is indexed and every vector
     is a query. A class is stored in the block of its cell and searched for in the blocks of the ``probes``
-    nearest cells: 4-bit tables score the whole block, the best ``rerank`` are scored exactly, and so is every
+    nearest cells, of one in PROBED cells at least: 4-bit tables score the whole block, the best ``rerank`` are scored exactly, and so is every
     other row that may be as good as the k + 1 best of these: a cosine of t or more gives an approximate score of
     at least t (1 - a) - sqrt(1 - t^2) b, a and b being the row's error along and across. So nothing in a block is
     lost to the codes. Cells with more than BLOCK_ROWS rows on either side are cut by salt, so no task grows
@@ -165,6 +167,7 @@ def nearest(
         return df.select(col(name).alias("name"), col(name).alias("neighbour"), F.lit(0.0).alias("cosine")).limit(0)
     sample = classes.select("u", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).select("u").toPandas()
     index = AnisotropicIndex(_stack(sample.u).astype(np.float64), max(1, min(MOST_CELLS, n // cell_rows)))
+    probes = max(probes, ceil(len(index.centres) / PROBED))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index
