@@ -179,3 +179,15 @@ def test_pipeline_and_sink(spark, demo, tmp_path):
     assert empty.total_recommendations == 0 and empty.total_storage_savings_gb == 0
     with pytest.raises(ValueError):
         save_table(run.candidates, "x", "append-ish")
+
+
+def test_schema_texts_of_many_requested_names(spark):
+    names = [f"cat.s.t{i:02}" for i in range(40)]
+    columns = [("cat", "s", n.split(".")[2], f"c{k}", "INT", k, None) for n in names for k in range(3)]
+    types = "table_catalog string, table_schema string, table_name string, column_name string, data_type string, ordinal_position int, comment string"
+    source = MetadataSource(spark, {"columns": spark.createDataFrame(columns, types)})
+    every = {r.full_table_name: r.schema_text for r in schema_text.schema_texts(source).collect()}
+    asked = names_frame(spark, names[::2] + names[:6] + [f"no.such.t{i}" for i in range(9)])
+    got = schema_text.schema_texts(source, asked).collect()
+    assert len(every) == 40 and len(got) == len({*names[::2], *names[:6]})
+    assert {r.full_table_name: r.schema_text for r in got} == {n: every[n] for n in {*names[::2], *names[:6]}}
