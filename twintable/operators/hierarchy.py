@@ -3,36 +3,33 @@
 The link graph is contracted in rounds and the rounds are then undone:
 
 * *rake*: nodes without children are removed, their weight goes to their parents;
-* *compress*: a node with one parent and one child is replaced by a longer link between these two; an
-  independent set, drawn by a hash of name and round, goes in each round.
+* *compress*: every chain of nodes with one parent and one child each becomes one longer link between its two
+  ends, whatever its length; places in the chain are found by doubling, so a chain of n nodes takes log n joins.
 
-What neither step can reduce is a core of cycles. A cycle that shrinks to a link of a node to itself marks
-that node; the core's strongly connected parts are found by colouring, merged, and contracted in turn.
-Undoing the rounds in reverse order gives every node its facts from its neighbours of that round: distances
-to roots come down from the parents, the set and number of nodes below come up from the child.
+A tree is gone after at most about log n such rounds. What neither step can reduce is a core of cycles: a ring of
+single-parent, single-child nodes shows in the doubling and becomes one node; a cycle that shrinks to a link of a
+node to itself marks that node; of what still remains, the strongly connected parts are found by colouring,
+merged, and contracted in turn. Colouring, and distances inside of such a core, take as many steps as the
+contracted core is wide.
 
-As soon as no more than LOCAL_LINKS links, nodes and rows of sets each are left, whatever the size of the input, one task finishes this
-checked, bounded remainder (cycles included) and the recorded rounds are undone from its facts.
+Undoing the rounds in reverse order gives every node its facts from its neighbours of that round: distances to
+roots come down from the parents, the set and number of nodes below come up from the child.
 
 Nodes with a single parent add a number to it. Only the few with several parents travel upwards as
-(node, element) rows, which keeps the count of distinct descendants exact without the full closure.
+(node, element) rows, which keeps the count of distinct descendants exact without the full closure. A node has
+such a row for every node with several parents below it, which is what an exact count of distinct ones costs.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twintable.runtime import cut
+from twintable.runtime import Growing, cut, cut_all, scratch
 
 ROOT, BELOW, COUNT, CYCLE, SELF = 0, 1, 2, 3, 4
-#: Links, nodes and rows of sets left, of each, at which one task finishes; a fixed bound, not a share of the input.
-LOCAL_LINKS = 20_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -42,80 +39,154 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _shortest(edges: DataFrame, paths: bool) -> DataFrame:
     """One link per pair of nodes, the shortest; ties by the smaller list of nodes on the way."""
     if not paths:
-        return edges.groupBy("src", "dst").agg(F.min("w").alias("w")).withColumn("via", F.array().cast("array<string>"))
+        return edges.groupBy("src", "dst").agg(F.min("w").alias("w")).withColumn("via", _no_names())
     best = edges.groupBy("src", "dst").agg(F.min(F.struct("w", "via")).alias("m"))
     return best.select("src", "dst", "m.w", "m.via")
 
 
-def _states(nodes: DataFrame, edges: DataFrame, turn: int) -> DataFrame:
-    """Degree, weight and (meaningful where there is one) parent and child of every node."""
-    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    ends = _union(
-        [
-            nodes.select("n", "weight", "is_root", "own_cycle", F.lit(0).alias("o"), F.lit(0).alias("i"), none.alias("par"), none.alias("chd"), F.lit(0).alias("wi"), F.lit(0).alias("wo"), nothing.alias("vi"), nothing.alias("vo")),
-            edges.select(F.col("src").alias("n"), F.lit(0).cast("bigint").alias("weight"), F.lit(0).alias("is_root"), F.lit(0).alias("own_cycle"), F.lit(1).alias("o"), F.lit(0).alias("i"), none.alias("par"), F.col("dst").alias("chd"), F.lit(0).alias("wi"), F.col("w").alias("wo"), nothing.alias("vi"), F.col("via").alias("vo")),
-            edges.select(F.col("dst").alias("n"), F.lit(0).cast("bigint").alias("weight"), F.lit(0).alias("is_root"), F.lit(0).alias("own_cycle"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.col("src").alias("par"), none.alias("chd"), F.col("w").alias("wi"), F.lit(0).alias("wo"), F.col("via").alias("vi"), nothing.alias("vo")),
-        ]
-    )
-    s = ends.groupBy("n").agg(
-        F.sum("weight").alias("weight"), F.max("is_root").alias("is_root"), F.max("own_cycle").alias("own_cycle"),
-        F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("par").alias("par"), F.max("chd").alias("chd"),
-        F.max("wi").alias("wi"), F.max("wo").alias("wo"), F.max("vi").alias("vi"), F.max("vo").alias("vo"),
-    )
-    return s.withColumn("coin", F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2))).withColumn("unary", (F.col("o") == 1) & (F.col("i") == 1))
+def _no_names():
+    return F.array().cast("array<string>")
 
 
-def _few(most: int, *parts: DataFrame) -> bool:
-    return all(p.count() <= most for p in parts)
+def _gain(nodes: DataFrame, gains: DataFrame) -> DataFrame:
+    """``nodes`` with the weights and loops of ``gains`` (``n, gain, loop``) added."""
+    total = gains.groupBy("n").agg(F.sum("gain").alias("gain"), F.max("loop").alias("loop"))
+    return nodes.join(total, "n", "left").select(
+        "n", (F.col("weight") + F.coalesce("gain", F.lit(0))).alias("weight"), "is_root", F.greatest("own_cycle", F.coalesce("loop", F.lit(0))).alias("own_cycle")
+    )
 
 
-def _contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool, enough: int = -1) -> tuple[list[dict], DataFrame, DataFrame, DataFrame]:
-    """Rake and compress until nothing moves or ``enough`` links, nodes and rows of sets are left. Returns the record of each round and what is left of nodes, links, sets."""
-    rounds: list[dict] = []
-    turn = 0
-    while True:
-        if _few(enough, edges, nodes, sets):
-            return rounds, nodes, edges, sets
-        s, turn = cut(_states(nodes, edges, turn)), turn + 1
-        child = s.select(F.col("n").alias("chd"), ((F.col("o") == 0) | (F.col("unary") & (F.col("coin") == 1))).alias("blocked"))
-        picked = s.where("unary and coin = 1").join(child, "chd").where("not blocked").select("n", F.lit(1).alias("picked"))
-        gone = cut(
-            s.join(picked, "n", "left").where("o = 0 or picked = 1")
-            .select("n", "weight", "is_root", "own_cycle", "i", "par", "chd", "wi", "wo", "vi", "vo", (F.col("o") == 0).alias("leaf"))
-        )
-        if gone.isEmpty():
-            if s.where("unary").isEmpty():
-                return rounds, nodes, edges, sets
-            continue
-        ids = gone.select("n")
-        down = cut(edges.join(gone.select(F.col("n").alias("dst"), "i", "weight"), "dst"))
-        step = {"gone": gone, "down": down.select("src", "dst", "w", "via")}
-        step["sets"] = cut(sets.join(ids.withColumnRenamed("n", "owner"), "owner", "left_semi"))
-        rounds.append(step)
-        lift = down.select(F.col("dst").alias("owner"), F.col("src").alias("up"))
-        sets = cut(
-            _union(
-                [
-                    sets.join(ids.withColumnRenamed("n", "owner"), "owner", "left_anti"),
-                    step["sets"].join(lift, "owner").select(F.col("up").alias("owner"), "elem", "size"),
-                    down.where("i > 1").select(F.col("src").alias("owner"), F.col("dst").alias("elem"), F.col("weight").alias("size")),
-                ]
-            ).distinct()
+def _rake(nodes: DataFrame, edges: DataFrame, sets: DataFrame) -> tuple | None:
+    """Removes the nodes without children. Returns the record of the step and what is left, None if there are none."""
+    col = F.col
+    parents = edges.groupBy("dst").agg(F.count("*").alias("i"), F.max("src").alias("par")).withColumnRenamed("dst", "n")
+    leaves = nodes.join(edges.select(col("src").alias("n")), "n", "left_anti")
+    gone = cut(
+        leaves.join(parents, "n", "left").select(
+            "n", "weight", "is_root", "own_cycle", F.coalesce("i", F.lit(0)).alias("i"), "par", F.lit(None).cast("string").alias("chd"), _no_names().alias("vi"), F.lit(True).alias("leaf")
         )
-        bridged = gone.where("not leaf").select(
-            F.col("par").alias("src"), F.col("chd").alias("dst"), (F.col("wi") + F.col("wo")).alias("w"),
-            (F.concat("vi", F.array("n"), "vo") if paths else F.col("vi")).alias("via"),
-        )
-        passed = gone.where("not leaf").select(F.col("n").alias("src"))
-        kept = edges.join(ids.withColumnRenamed("n", "dst"), "dst", "left_anti").join(passed, "src", "left_anti")
-        loops = bridged.where("src = dst").select(F.col("src").alias("n"), F.lit(0).cast("bigint").alias("gain"), F.lit(1).alias("loop"))
-        gains = gone.where("i = 1").select(F.col("par").alias("n"), F.col("weight").alias("gain"), F.lit(0).alias("loop"))
-        gains = gains.unionByName(loops).groupBy("n").agg(F.sum("gain").alias("gain"), F.max("loop").alias("loop"))
-        nodes = cut(
-            s.select("n", "weight", "is_root", "own_cycle").join(ids, "n", "left_anti").join(gains, "n", "left")
-            .select("n", (F.col("weight") + F.coalesce("gain", F.lit(0))).alias("weight"), "is_root", F.greatest("own_cycle", F.coalesce("loop", F.lit(0))).alias("own_cycle"))
-        )
-        edges = cut(_shortest(kept.unionByName(bridged.where("src <> dst")), paths))
+    )
+    if gone.isEmpty():
+        return None
+    ids = gone.select("n")
+    down, own = cut_all(
+        edges.join(gone.select(col("n").alias("dst"), "i", "weight"), "dst"),
+        sets.join(ids.withColumnRenamed("n", "owner"), "owner", "left_semi"),
+    )
+    step = {"gone": gone, "down": down.select("src", "dst", "w", "via"), "sets": own}
+    lifted = own.join(down.select(col("dst").alias("owner"), col("src").alias("up")), "owner").select(col("up").alias("owner"), "elem", "size")
+    shared = down.where("i > 1").select(col("src").alias("owner"), col("dst").alias("elem"), col("weight").alias("size"))
+    gains = gone.where("i = 1").select(col("par").alias("n"), col("weight").alias("gain"), F.lit(0).alias("loop"))
+    left = cut_all(
+        _gain(nodes.join(ids, "n", "left_anti"), gains),
+        edges.join(ids.withColumnRenamed("n", "dst"), "dst", "left_anti"),
+        _union([sets.join(ids.withColumnRenamed("n", "owner"), "owner", "left_anti"), lifted, shared]).distinct(),
+    )
+    return step, *left
+
+
+def _doubled(jumps: DataFrame, paths: bool) -> DataFrame:
+    """Every place that is not at its top yet moves on to where the node it points to points."""
+    col = F.col
+    reach = jumps.select(
+        col("n").alias("ptr"), col("ptr").alias("ptr2"), col("done").alias("done2"), col("d").alias("d2"), col("pw").alias("pw2"), col("between").alias("between2"), col("low").alias("low2")
+    )
+    moved = jumps.where("not done").join(reach, "ptr").select(
+        "n", col("ptr2").alias("ptr"), col("done2").alias("done"), (col("d") + col("d2")).alias("d"), (col("pw") + col("pw2")).alias("pw"),
+        (F.concat("between2", F.array("ptr"), "between") if paths else col("between")).alias("between"), F.least("low", "low2").alias("low"), (col("low2") < col("low")).alias("moved"),
+    )
+    return jumps.where("done").unionByName(moved)
+
+
+def _places(unary: DataFrame, paths: bool) -> DataFrame:
+    """Where every single-parent, single-child node stands in its chain, by doubling.
+
+    ``n, ptr, done, d, pw, between, low``: ``ptr`` is the top of the chain, ``d`` and ``pw`` distance and weight from
+    there, ``between`` the nodes on the way. On a ring there is no top: ``done`` stays false, ``low`` is its smallest name.
+    """
+    col = F.col
+    top = col("up").isNull()
+    inner = unary.select(col("n").alias("par"), F.lit(1).alias("up"))
+    start = unary.join(inner, "par", "left").select("n", "par", "weight", "wi", "vi", "up")
+    tops = start.where("up is null").select(col("n").alias("par"), F.lit(True).alias("stop"))
+    jumps = cut(
+        start.join(tops, "par", "left").select(
+            "n", F.when(top, col("n")).otherwise(col("par")).alias("ptr"), (top | F.coalesce("stop", F.lit(False))).alias("done"),
+            F.when(top, 0).otherwise(col("wi")).cast("bigint").alias("d"), F.when(top, 0).otherwise(col("weight")).cast("bigint").alias("pw"),
+            (F.when(top, _no_names()).otherwise(col("vi")) if paths else col("vi")).alias("between"), F.least("n", F.when(top, col("n")).otherwise(col("par"))).alias("low"), F.lit(True).alias("moved"),
+        )
+    )
+    before = -1
+    while True:
+        # Each round of doublings ends some nodes of every chain that is still open; once none ends and no smallest name
+        # moves, only rings are left and every node has seen the whole of its ring.
+        open_ = jumps.where("not done").agg(F.count("*").alias("n"), F.max("moved").alias("moved")).first()
+        if not open_["n"] or (open_["n"] == before and not open_["moved"]):
+            return jumps
+        before = open_["n"]
+        jumps = cut(_doubled(_doubled(jumps, paths), paths))
+
+
+def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple | None:
+    """Replaces every chain by one link and every ring by one node. Returns like ``_rake``."""
+    col, zero = F.col, F.lit(0)
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    ends = edges.select(col("src").alias("n"), F.lit(1).alias("o"), zero.alias("i"), none.alias("par"), col("dst").alias("chd"), zero.alias("wi"), col("w").alias("wo"), nothing.alias("vi"), col("via").alias("vo"))
+    ends = ends.unionByName(edges.select(col("dst").alias("n"), zero.alias("o"), F.lit(1).alias("i"), col("src").alias("par"), none.alias("chd"), col("w").alias("wi"), zero.alias("wo"), col("via").alias("vi"), nothing.alias("vo")))
+    single = ends.groupBy("n").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), *[F.max(c).alias(c) for c in ("par", "chd", "wi", "wo", "vi", "vo")]).where("o = 1 and i = 1")
+    unary = cut(single.join(nodes, "n").select("n", "weight", "own_cycle", "par", "chd", "wi", "wo", "vi", "vo"))
+    if unary.isEmpty():
+        return None
+    places = _places(unary, paths).join(unary.select("n", "weight", "own_cycle"), "n")
+    tops = unary.join(unary.select(col("n").alias("par")), "par", "left_anti").select(col("n").alias("ptr"), col("par").alias("h"), col("wi").alias("w1"), col("vi").alias("v1"), col("weight").alias("tw"))
+    bottoms = unary.join(unary.select(col("n").alias("chd")), "chd", "left_anti").select("n", col("chd").alias("t"), "wo", "vo")
+    last = bottoms.join(places.where("done"), "n").join(tops, "ptr")
+    inside = F.when(col("n") == col("ptr"), F.array("n")).otherwise(F.concat(F.array("ptr"), "between", F.array("n")))
+    chains = cut(last.select("ptr", "h", "t", "w1", "v1", "tw", (col("w1") + col("d") + col("wo")).alias("w"), (col("tw") + col("pw")).alias("total"), (F.concat("v1", inside, "vo") if paths else col("v1")).alias("via")))
+    before = F.when(col("n") == col("ptr"), col("v1")).otherwise(F.concat("v1", F.array("ptr"), "between"))
+    on_chain = places.where("done").join(chains.drop("w", "via"), "ptr").select(
+        "n", (col("total") - col("tw") - col("pw") + col("weight")).alias("weight"), "own_cycle", col("h").alias("par"), col("t").alias("chd"),
+        (col("w1") + col("d")).cast("int").alias("wi"), (before if paths else col("v1")).alias("vi"), "ptr", F.lit(False).alias("ring"),
+    )
+    on_ring = places.where("not done and n <> low").select(
+        "n", "weight", "own_cycle", col("low").alias("par"), col("low").alias("chd"), zero.alias("wi"), _no_names().alias("vi"), col("low").alias("ptr"), F.lit(True).alias("ring")
+    )
+    members = cut(on_chain.unionByName(on_ring))
+    gone = members.select("n", "weight", zero.alias("is_root"), "own_cycle", F.lit(1).alias("i"), "par", "chd", "vi", F.lit(False).alias("leaf"))
+    down = members.where("not ring").select(col("par").alias("src"), col("n").alias("dst"), col("wi").alias("w"), col("vi").alias("via"))
+    # What is below a node of a chain is below all nodes before it.
+    held = sets.join(members.select(col("n").alias("owner"), "ptr", "par", "wi", "ring"), "owner")
+    deepest = held.where("not ring").groupBy("ptr", "elem", "size").agg(F.max("wi").alias("at"))
+    own = deepest.join(members.where("not ring").select("ptr", col("n").alias("owner"), "wi"), "ptr").where("wi <= at").select("owner", "elem", "size")
+    rings = places.where("not done").groupBy("low").agg(F.sum("weight").alias("gain"), F.sum(F.when(col("n") == col("low"), col("weight"))).alias("mine"))
+    gains = chains.select(col("h").alias("n"), col("total").alias("gain"), (col("h") == col("t")).cast("int").alias("loop"))
+    gains = gains.unionByName(rings.select(col("low").alias("n"), (col("gain") - col("mine")).alias("gain"), F.lit(1).alias("loop")))
+    bridges = chains.where("h <> t").select(col("h").alias("src"), col("t").alias("dst"), col("w").cast("int").alias("w"), "via")
+    ids = unary.select("n")
+    kept = edges.join(ids.withColumnRenamed("n", "dst"), "dst", "left_anti").join(ids.withColumnRenamed("n", "src"), "src", "left_anti")
+    removed = members.select("n")
+    own, *left = cut_all(
+        own,
+        _gain(nodes.join(removed, "n", "left_anti"), gains),
+        _shortest(kept.unionByName(bridges), paths),
+        sets.join(removed.withColumnRenamed("n", "owner"), "owner", "left_anti").unionByName(held.select(col("par").alias("owner"), "elem", "size")).distinct(),
+    )
+    return {"gone": gone, "down": down, "sets": own}, *left
+
+
+def contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple[list[dict], DataFrame, DataFrame, DataFrame]:
+    """Rakes and compresses in turn until neither moves. Returns the records of all steps and what is left of nodes, links, sets."""
+    steps: list[dict] = []
+    idle = 0
+    while idle < 2:
+        done = _rake(nodes, edges, sets) if len(steps) % 2 == 0 else _compress(nodes, edges, sets, paths)
+        steps.append(done[0] if done else {})
+        idle = 0 if done else idle + 1
+        if done:
+            _, nodes, edges, sets = done
+            if edges.isEmpty() and nodes.isEmpty():
+                break
+    return [s for s in steps if s], nodes, edges, sets
 
 
 def _facts(node, kind: int, key, val, path=None) -> list:
@@ -124,15 +195,16 @@ def _facts(node, kind: int, key, val, path=None) -> list:
         F.lit(kind).alias("kind"),
         key.alias("key"),
         val.cast("bigint").alias("val"),
-        (F.array().cast("array<string>") if path is None else path).alias("path"),
+        (_no_names() if path is None else path).alias("path"),
     ]
 
 
-def _undo(rounds: list[dict], facts: list[DataFrame], paths: bool) -> list[DataFrame]:
-    """Facts of the nodes removed in each round, the last round first."""
+def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
+    """Facts of all nodes: those given, and of the nodes removed in each round, the last round first."""
+    every = Growing(facts)
     col, blank = F.col, F.lit("")
     for step in reversed(rounds):
-        gone, known = step["gone"], _union(facts)
+        gone, known = step["gone"], every.read()
         mid = gone.where("not leaf")
         asks = _union(
             [
@@ -159,7 +231,7 @@ def _undo(rounds: list[dict], facts: list[DataFrame], paths: bool) -> list[DataF
         if paths:
             rows = rows.groupBy("node", "kind", "key").agg(F.min(F.struct("val", "path")).alias("m"), F.count("*").alias("k")).select("node", "kind", "key", "m.val", "m.path", "k")
         else:
-            rows = rows.groupBy("node", "kind", "key").agg(F.min("val").alias("val"), F.count("*").alias("k")).withColumn("path", F.array().cast("array<string>"))
+            rows = rows.groupBy("node", "kind", "key").agg(F.min("val").alias("val"), F.count("*").alias("k")).withColumn("path", _no_names())
         w = Window.partitionBy("node")
         inner = F.max((col("kind") == CYCLE) & (col("k") >= 2) & (col("val") >= 0)).over(w)
         weight = F.max(F.when(col("kind") == SELF, col("val"))).over(w)
@@ -177,122 +249,8 @@ def _undo(rounds: list[dict], facts: list[DataFrame], paths: bool) -> list[DataF
                 "path",
             )
         )
-        facts = [*facts, cut(rows)]
-    return facts
-
-
-def _parts_of(out: dict[str, list[str]], nodes: list[str]) -> dict[str, str]:
-    """The largest name of each node's strongly connected part."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack: list[str] = []
-    part: dict[str, str] = {}
-    for start in nodes:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        todo = [(start, iter(out.get(start, ())))]
-        while todo:
-            v, rest = todo[-1]
-            for u in rest:
-                if u not in index:
-                    index[u] = low[u] = len(index)
-                    stack.append(u)
-                    todo.append((u, iter(out.get(u, ()))))
-                    break
-                if u not in part:
-                    low[v] = min(low[v], index[u])
-            else:
-                todo.pop()
-                if todo:
-                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
-                if low[v] == index[v]:
-                    group = [stack.pop()]
-                    while group[-1] != v:
-                        group.append(stack.pop())
-                    part.update(dict.fromkeys(group, max(group)))
-    return part
-
-
-def _finish(paths: bool):
-    """Facts of all nodes of a small remainder, for one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given = list(batches)
-        if not given:
-            return
-        rows = pd.concat(given, ignore_index=True)
-        links = rows[rows.t == "e"]
-        out: dict[str, list] = {}
-        for a, b, w, via in zip(links.a, links.b, links.x, links.via):
-            out.setdefault(a, []).append((b, w, tuple(via)))
-        of = rows[rows.t == "n"]
-        weight, loops = dict(zip(of.a, of.x)), {a for a, y in zip(of.a, of.z) if y}
-        roots = [a for a, y in zip(of.a, of.y) if y]
-        nodes = list(weight)
-        part = _parts_of({a: [b for b, *_ in bs] for a, bs in out.items()}, nodes)
-        members: dict[str, list[str]] = {}
-        for v, g in part.items():
-            members.setdefault(g, []).append(v)
-        size = {g: sum(weight[v] for v in vs) for g, vs in members.items()}
-        number: dict[str, int] = {}
-        amount: list[int] = []
-        names: list[str] = []
-
-        def bit(name: str, k: int) -> int:
-            if name not in number:
-                number[name] = len(names)
-                names.append(name)
-                amount.append(int(k))
-            return 1 << number[name]
-
-        held: dict[str, int] = {}
-        for owner, elem, k in rows[rows.t == "s"][["a", "b", "x"]].itertuples(index=False):
-            held[part[owner]] = held.get(part[owner], 0) | bit(elem, k)
-        below: dict[str, int] = {}
-        buffer: list[tuple] = []
-
-        def ready(force: bool = False) -> Iterator[pd.DataFrame]:
-            if buffer and (force or len(buffer) >= 50_000):
-                yield pd.DataFrame(buffer, columns=["node", "kind", "key", "val", "path"])
-                buffer.clear()
-
-        for g in members:  # parts come with those below them first
-            mask = held.get(g, 0)
-            for v in members[g]:
-                for u, *_ in out.get(v, ()):
-                    h = part[u]
-                    if h != g:
-                        mask |= below[h] | bit(h, size[h])
-            below[g] = mask
-            inside = []
-            while mask:
-                last = mask & -mask
-                inside.append(last.bit_length() - 1)
-                mask ^= last
-            for v in members[g]:
-                buffer.append((v, COUNT, "", int(size[g]), []))
-                if len(members[g]) > 1 or v in loops:
-                    buffer.append((v, CYCLE, g, 0, []))
-                buffer.extend((v, BELOW, names[k], amount[k], []) for k in inside)
-                yield from ready()
-        for r in roots:
-            done: set[str] = set()
-            heap = [(0, (r,), r)] if paths else [(0, r)]
-            while heap:
-                d, *way, v = heapq.heappop(heap)
-                if v in done:
-                    continue
-                done.add(v)
-                buffer.append((v, ROOT, r, int(d), list(way[0]) if paths else []))
-                for u, w, via in out.get(v, ()):
-                    if u not in done:
-                        heapq.heappush(heap, (d + w, (*way[0], *via, u), u) if paths else (d + w, u))
-            yield from ready()
-        yield from ready(True)
-
-    return run
+        every.add(rows)
+    return every.read()
 
 
 def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -360,61 +318,49 @@ def _core_distances(nodes: DataFrame, edges: DataFrame, paths: bool) -> DataFram
     return known
 
 
-def _finish_small(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> DataFrame:
-    col, zero = F.col, F.lit(0).cast("bigint")
-    no_via = F.array().cast("array<string>")
-    rows = _union(
-        [
-            edges.select(F.lit("e").alias("t"), col("src").alias("a"), col("dst").alias("b"), col("w").cast("bigint").alias("x"), zero.alias("y"), zero.alias("z"), "via"),
-            nodes.select(F.lit("n").alias("t"), col("n").alias("a"), F.lit("").alias("b"), col("weight").alias("x"), col("is_root").cast("bigint").alias("y"), col("own_cycle").cast("bigint").alias("z"), no_via.alias("via")),
-            sets.select(F.lit("s").alias("t"), col("owner").alias("a"), col("elem").alias("b"), col("size").alias("x"), zero.alias("y"), zero.alias("z"), no_via.alias("via")),
-        ]
-    ).repartition(1)
-    return rows.mapInPandas(_finish(paths), "node string, kind int, key string, val bigint, path array<string>")
-
-
-def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False, local_links: int = LOCAL_LINKS) -> DataFrame:
+def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False) -> DataFrame:
     """One row per linked node and root that reaches it: ``node, root, depth, path, on_cycle, n_descendants``.
 
     A root is a node that is never a child. ``depth`` is the fewest links from that root and ``path`` (with
-    ``paths=True``) the nodes on the way, the alphabetically first of the shortest ones found. A node that no
+    ``paths=True``) the nodes on the way, the alphabetically first of the shortest ones. A node that no
     root reaches gives one row with root '' and depth -1 (path empty). ``on_cycle`` is 1 if a node can be
     reached from itself over others; ``n_descendants`` counts the distinct other nodes that can be reached.
 
-    ``local_links``: remainder that one task may finish (0: all of it is done in rounds).
-
     Defined cases: rows with a null end and links of a node to itself are no links, repeated rows are one;
     an empty table gives no rows; further columns are ignored. Any depth, several parents per node and cycles
-    are allowed.
+    are allowed. The tables of the rounds are deleted before it returns.
     """
+    with scratch(links.sparkSession):
+        return cut(_hierarchy(links, parent, child, paths), keep=True)
+
+
+def _hierarchy(links: DataFrame, parent: str, child: str, paths: bool) -> DataFrame:
     col = F.col
     edges = links.select(col(parent).alias("src"), col(child).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
-    edges = cut(edges.select("src", "dst", F.lit(1).alias("w"), F.array().cast("array<string>").alias("via")))
+    edges = cut(edges.select("src", "dst", F.lit(1).alias("w"), _no_names().alias("via")))
     ends = edges.select(col("src").alias("n"), F.lit(1).alias("r")).unionByName(edges.select(col("dst").alias("n"), F.lit(0).alias("r")))
     nodes = cut(ends.groupBy("n").agg(F.min("r").alias("is_root")).select("n", F.lit(1).cast("bigint").alias("weight"), "is_root", F.lit(0).alias("own_cycle")))
     sets = nodes.select(col("n").alias("owner"), col("n").alias("elem"), col("weight").alias("size")).limit(0)
-    rounds, core, core_edges, core_sets = _contract(nodes, edges, sets, paths, local_links)
+    rounds, core, core_edges, core_sets = contract(nodes, edges, sets, paths)
     none = nodes.select(*_facts(col("n"), ROOT, col("n"), F.lit(0))).limit(0)
-    if _few(local_links, core_edges, core, core_sets):
-        facts = [cut(_finish_small(core, core_edges, core_sets, paths))]
-    elif core.isEmpty():
-        facts = [none]
+    if core.isEmpty():
+        facts = none
     else:
         parts = strong_parts(core, core_edges)
         member = cut(core.join(parts, "n", "left").withColumn("g", F.coalesce("part", "n")))
-        merged = cut(member.groupBy(col("g").alias("n")).agg(F.sum("weight").alias("weight")).select("n", "weight", F.lit(0).alias("is_root"), F.lit(0).alias("own_cycle")))
         of = member.select("n", "g")
-        merged_edges = cut(
+        merged, merged_edges, merged_sets = cut_all(
+            member.groupBy(col("g").alias("n")).agg(F.sum("weight").alias("weight")).select("n", "weight", F.lit(0).alias("is_root"), F.lit(0).alias("own_cycle")),
             core_edges.join(of.select(col("n").alias("src"), col("g").alias("gs")), "src").join(of.select(col("n").alias("dst"), col("g").alias("gd")), "dst")
-            .where("gs <> gd").select(col("gs").alias("src"), col("gd").alias("dst"), F.lit(1).alias("w"), F.array().cast("array<string>").alias("via")).distinct()
+            .where("gs <> gd").select(col("gs").alias("src"), col("gd").alias("dst"), F.lit(1).alias("w"), _no_names().alias("via")).distinct(),
+            core_sets.join(of.withColumnRenamed("n", "owner"), "owner").select(col("g").alias("owner"), "elem", "size").distinct(),
         )
-        merged_sets = cut(core_sets.join(of.withColumnRenamed("n", "owner"), "owner").select(col("g").alias("owner"), "elem", "size").distinct())
-        inner, *_ = _contract(merged, merged_edges, merged_sets, False)
-        below = _union(_undo(inner, [none], False)).where(f"kind in ({BELOW}, {COUNT})")
+        inner, *_ = contract(merged, merged_edges, merged_sets, False)
+        below = _undo(inner, none, False).where(f"kind in ({BELOW}, {COUNT})")
         shared = below.withColumnRenamed("node", "g").join(of, "g").select(col("n").alias("node"), "kind", "key", "val", "path")
         cycles = member.where("part is not null or own_cycle = 1").select(*_facts(col("n"), CYCLE, col("g"), F.lit(0)))
-        facts = [cut(_union([shared, cycles, _core_distances(core, core_edges, paths)]))]
-    every = cut(_union(_undo(rounds, facts, paths)))
+        facts = _union([shared, cycles, _core_distances(core, core_edges, paths)])
+    every = _undo(rounds, facts, paths)
     info = every.where(f"kind <> {ROOT}").groupBy("node").agg(
         F.max((col("kind") == CYCLE).cast("bigint")).alias("on_cycle"),
         (F.sum(F.when(col("kind").isin(BELOW, COUNT), col("val"))) - 1).cast("bigint").alias("n_descendants"),
@@ -424,7 +370,7 @@ def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False, lo
         "node",
         F.coalesce("root", F.lit("")).alias("root"),
         F.coalesce("depth", F.lit(-1)).cast("bigint").alias("depth"),
-        F.coalesce("path", F.array().cast("array<string>")).alias("path"),
+        F.coalesce("path", _no_names()).alias("path"),
         "on_cycle",
         "n_descendants",
     )

@@ -62,6 +62,22 @@ info AS (
 SELECT i.n AS full_table_name, coalesce(b.root, '') AS root_table, CAST(coalesce(b.depth, -1) AS BIGINT) AS depth,
        CAST(i.on_cycle AS BIGINT) AS on_cycle, CAST(i.k AS BIGINT) AS n_descendants
 FROM info i LEFT JOIN best b ON b.n = i.n""",
+    "p2_paths": f"""
+WITH RECURSIVE links AS (
+  SELECT DISTINCT s, t FROM (
+    SELECT {clean_sql('source_table_full_name')} AS s, {clean_sql('target_table_full_name')} AS t FROM table_lineage)
+  WHERE s IS NOT NULL AND t IS NOT NULL AND s <> t),
+nodes AS (SELECT s AS n FROM links UNION SELECT t FROM links),
+roots AS (SELECT n FROM nodes WHERE n NOT IN (SELECT t FROM links)),
+walk(root, n, w) USING KEY (root, n) AS (
+  SELECT n, n, row(0, [n]) FROM roots
+  UNION
+  SELECT w.root, l.t, min(row(w.w[1] + 1, list_append(w.w[2], l.t))) FROM walk w JOIN links l ON w.n = l.s
+  LEFT JOIN recurring.walk k ON k.root = w.root AND k.n = l.t
+  WHERE k.w IS NULL OR k.w > row(w.w[1] + 1, list_append(w.w[2], l.t)) GROUP BY w.root, l.t)
+SELECT nodes.n AS full_table_name, coalesce(walk.root, '') AS root_table, CAST(coalesce(walk.w[1], -1) AS BIGINT) AS depth,
+       coalesce(array_to_string(walk.w[2], ' > '), '') AS path
+FROM nodes LEFT JOIN walk ON walk.n = nodes.n""",
     "p6_found": """
 WITH e AS (
   SELECT DISTINCT event_id, user_id, event_timestamp AS t FROM user_events

@@ -1,9 +1,14 @@
-"""Session-level helpers: reading tables and cutting lineage."""
+"""Session-level helpers: reading tables, cutting lineage, and cleaning up after it."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import twintable
 from pyspark import cloudpickle
@@ -12,32 +17,94 @@ from pyspark.sql import DataFrame, SparkSession
 # Functions of this package travel to the executors by value, so these need no copy of it.
 cloudpickle.register_pickle_by_value(twintable)
 
+_scopes = threading.local()
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder of tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a private folder only where none is named."""
+def _is_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's folder below the shared ``spark.checkpoint.dir``.
+
+    Where none is named, a session that runs in one process gets a private folder; on a cluster that is an
+    error, as executors could not read what others wrote. The folder goes when the program ends.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="twintable-checkpoint-"))
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not _is_one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="twintable-"))
+        found = sc._jsc.sc().getCheckpointDir()
+        atexit.register(_delete, spark, found.get())
+    return found.get()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end. A result that outlives it is cut with ``keep=True``."""
+    outer = getattr(_scopes, "path", None)
+    _scopes.path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.path)
+        _scopes.path = outer
+
+
+def _write(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table into the shared checkpoint folder and read it back, without its lineage.
 
     The copy survives the loss of executors and, unlike a checkpointed RDD, has true size statistics and
-    prunes columns. Size estimates of iterative plans would otherwise multiply from round to round.
+    prunes columns. Size estimates of iterative plans would otherwise multiply from round to round. Inside
+    ``scratch`` the table goes with it, unless ``keep``.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    base = checkpoint_dir(df.sparkSession)
+    return _write(df, base if keep else getattr(_scopes, "path", None) or base)
+
+
+def cut_all(*dfs: DataFrame) -> list[DataFrame]:
+    """``cut`` of several tables that don't build on each other, at the same time."""
+    folder = getattr(_scopes, "path", None) or checkpoint_dir(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(lambda df: _write(df, folder), dfs))
+
+
+class Growing:
+    """A table in the checkpoint folder that steps add rows to, for a step to read what those before it wrote."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{getattr(_scopes, 'path', None) or checkpoint_dir(self.spark)}/grow-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def parallelism(spark: SparkSession) -> int:
