@@ -11,7 +11,7 @@ from twintable.llm.knn import nearest
 from twintable.llm.packing import pack
 from twintable.llm.prose import odd_share, odd_texts
 from twintable.llm.setjoin import similar_sets
-from twintable.llm.survivorship import best_values, duplicate_groups, latent_truth, surviving_records
+from twintable.llm.survivorship import best_values, judged_values, recency_claims, surviving_records
 from twintable.llm.tokens import encode_corpus, load
 from twintable.plans.problem_queries import clean_sql
 from twintable.runtime import cut, table
@@ -56,20 +56,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def recommendation_groups(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "recommendations")
-    return duplicate_groups(t.select(clean_name("table_a").alias("a"), clean_name("table_b").alias("b")), "a", "b")
+    return connected_groups(t.select(clean_name("table_a").alias("a"), clean_name("table_b").alias("b")), "a", "b")
 
 
-def p5_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The source of truth of each group, its record filled field by field."""
+def usage_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """What the records of table_usage_stats state about each table's reads, last write and jobs."""
     t = table(spark, folder, "table_usage_stats").withColumn("table", clean_name("table_name"))
     write, seen = F.col("last_write"), F.col("snapshot_at")
-    usable = {
-        "read_count": F.col("read_count") >= 0,
-        "last_write": write.isNotNull() & (F.year(write) != 1970) & (write <= seen),
-        "job_count": F.col("job_count") >= 0,
+    fields = {
+        "read_count": (F.col("read_count"), F.col("read_count") >= 0),
+        "last_write": (F.unix_micros(write.cast("timestamp")), write.isNotNull() & (F.year(write) != 1970) & (write <= seen)),
+        "job_count": (F.col("job_count"), F.col("job_count") >= 0),
     }
-    values = best_values(t, "table", "snapshot_at", usable)
-    return surviving_records(recommendation_groups(spark, folder), values, "table", ["read_count", "last_write", "job_count"])
+    return recency_claims(t, "table", "snapshot_at", fields)
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The source of truth of each group, its record filled field by field with the latest value judged true."""
+    rank = ["read_count", "last_write", "job_count"]
+    values = best_values(judged_values(cut(usage_claims(spark, folder))), rank)
+    return surviving_records(recommendation_groups(spark, folder), values, "key", rank).withColumn("last_write", F.timestamp_micros("last_write"))
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,15 +89,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Which tables the recommendations' claims make the source of truth of their group, by inferred source quality."""
-    t = table(spark, folder, "recommendations").select(
-        clean_name("table_a").alias("member"), clean_name("sot_table").alias("value"), F.coalesce("confidence_level", F.lit("none")).alias("source")
-    )
-    groups = recommendation_groups(spark, folder)
-    claims = t.join(groups, "member").select(F.col("group_id").alias("entity"), "value", "source")
-    known = groups.select(F.col("group_id").alias("entity"), F.col("member").alias("value"))
-    truth, _ = latent_truth(claims.join(known, ["entity", "value"], "left_semi"))
-    return truth.select(F.col("entity").alias("group_id"), F.col("value").alias("sot_table"), "probability", (F.col("probability") >= 0.5).alias("judged_true"))
+    """Every value stated about a table's field, and whether the model judges it true."""
+    judged = judged_values(cut(usage_claims(spark, folder)), tolerance=1e-4)
+    return judged.select(F.col("key").alias("full_table_name"), "field", F.col("value").cast("string").alias("value"), (F.col("probability") >= 0.5).alias("judged_true"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +164,41 @@ WITH RECURSIVE links AS (
   SELECT DISTINCT a, b FROM (SELECT {clean_sql('table_a')} AS a, {clean_sql('table_b')} AS b FROM recommendations)
   WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)"""
 
+_ROUNDS = 30
+
+
+def _truth_sql() -> str:
+    """The model in SQL, for a fixed number of rounds."""
+    parts = [f"""
+said AS (
+  SELECT DISTINCT t, f, v, snapshot_at AS o FROM (
+    SELECT {clean_sql('table_name')} AS t, 'read_count' AS f, CASE WHEN read_count >= 0 THEN read_count END AS v, snapshot_at FROM table_usage_stats
+    UNION ALL SELECT {clean_sql('table_name')}, 'last_write', CASE WHEN year(last_write) <> 1970 AND last_write <= snapshot_at THEN epoch_us(last_write) END, snapshot_at FROM table_usage_stats
+    UNION ALL SELECT {clean_sql('table_name')}, 'job_count', CASE WHEN job_count >= 0 THEN job_count END, snapshot_at FROM table_usage_stats)
+  WHERE t IS NOT NULL AND v IS NOT NULL AND snapshot_at IS NOT NULL),
+latest AS (SELECT t, f, max(row(o, v)) AS m FROM said GROUP BY t, f),
+claims AS MATERIALIZED (
+  SELECT DISTINCT t, f, v, f || CASE WHEN row(o, v) = m THEN ' new' ELSE ' ' || CAST(floor(log2((epoch_us(m[1]) - epoch_us(o)) / 86400000000.0::DOUBLE + 1)) AS INTEGER) END AS s
+  FROM said JOIN latest USING (t, f)),
+speaks AS MATERIALIZED (SELECT DISTINCT t, f, s FROM claims),
+q0 AS MATERIALIZED (SELECT DISTINCT s, CASE WHEN s LIKE '% new' THEN 0.95 ELSE 0.5 END::DOUBLE AS sens, CASE WHEN s LIKE '% new' THEN 0.05 ELSE 0.5 END::DOUBLE AS fpr FROM claims)"""]
+    for i in range(_ROUNDS + 1):
+        parts.append(f"""
+p{i} AS MATERIALIZED (
+  SELECT n.t, n.f, n.v, 1 / (1 + exp(-(base + more))) AS p
+  FROM (SELECT t, f, v, sum(ln(sens / fpr) - ln((1 - sens) / (1 - fpr))) AS more FROM claims JOIN q{i} USING (s) GROUP BY t, f, v) n
+  JOIN (SELECT t, f, sum(ln((1 - sens) / (1 - fpr))) AS base FROM speaks JOIN q{i} USING (s) GROUP BY t, f) d ON d.t = n.t AND d.f = n.f)""")
+        if i < _ROUNDS:
+            parts.append(f"""
+q{i + 1} AS MATERIALIZED (
+  SELECT s, (t1 + 20 * q0.sens) / (tt + 20) AS sens, (f1 + 20 * q0.fpr) / (ff + 20) AS fpr FROM q0
+  JOIN (SELECT s, sum(p) AS t1, sum(1 - p) AS f1 FROM claims JOIN p{i} USING (t, f, v) GROUP BY s) x USING (s)
+  JOIN (SELECT s, sum(tt) AS tt, sum(ff) AS ff FROM speaks JOIN (SELECT t, f, sum(p) AS tt, sum(1 - p) AS ff FROM p{i} GROUP BY t, f) USING (t, f) GROUP BY s) y USING (s))""")
+    return f"WITH {','.join(parts)} SELECT t AS full_table_name, f AS field, CAST(v AS VARCHAR) AS value, p >= 0.5 AS judged_true FROM p{_ROUNDS}"
+
+
 SQL = {
+    "p5_truth": _truth_sql(),
     "p1_found": f"{_PAIRS} SELECT a AS table_a, b AS table_b FROM p",
     "p1_ratios": f"{_PAIRS} SELECT a AS table_a, b AS table_b, k AS common_source_count, round(ratio, 6) AS source_overlap_ratio FROM p",
     "p3_found": f"""

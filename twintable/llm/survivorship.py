@@ -1,4 +1,4 @@
-"""One surviving record per group of duplicates."""
+"""One surviving record per group of duplicates, its fields judged by a model of the quality of their sources."""
 
 from __future__ import annotations
 
@@ -8,19 +8,56 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintable.llm.components import connected_groups
-from twintable.runtime import cut
+from twintable.runtime import cut, scratch
 
+#: Prior belief in the newest record of a field and in older ones: (sensitivity, rate of false statements), counted as so many statements.
+TRUST_NEWEST, TRUST_OLDER, TRUST_WEIGHT = (0.95, 0.05), (0.5, 0.5), 20.0
 
-def best_values(records: DataFrame, key: str, order: str, usable: dict[str, Column]) -> DataFrame:
-    """Per key, for every field the value of the latest record (by ``order``) in which it is usable.
 
-    Each field is chosen by itself; records of equal time fall back to the larger value. One aggregation with
-    map-side partials, so a key with very many records is no hot task. Null keys are left out; a field that is
-    never usable is null.
+def recency_claims(records: DataFrame, key: str, order: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``key, field, value, at, source``: what every usable field of every record states, and which kind of record states it.
+
+    ``fields`` gives each field's value, as a bigint, and whether it is usable. The source is the field and the
+    record's age: 'new' for the latest usable one (of equal times the larger value), else the magnitude of the
+    number of days it is behind that. So there are some 20 sources a field, whatever the number of records.
+    One aggregation with map-side partials finds the latest; a key with very many records is no hot task.
     """
-    picks = [F.max(F.when(ok, F.struct(F.col(order).alias("o"), F.col(f).alias("v")))).getField("v").alias(f) for f, ok in usable.items()]
-    return records.where(F.col(key).isNotNull()).groupBy(key).agg(*picks)
+    col = F.col
+    said = [F.struct(F.lit(f).alias("field"), F.when(ok, v).cast("bigint").alias("value")) for f, (v, ok) in fields.items()]
+    rows = records.where(col(key).isNotNull() & col(order).isNotNull()).select(col(key).alias("key"), F.unix_micros(col(order).cast("timestamp")).alias("at"), F.inline(F.array(*said)))
+    rows = rows.where("value is not null").distinct()
+    newest = rows.groupBy("key", "field").agg(F.max(F.struct("at", "value")).alias("m"))
+    days = F.floor(F.log2((col("m.at") - col("at")) / 86_400_000_000 + 1)).cast("int")
+    age = F.when((col("at") == col("m.at")) & (col("value") == col("m.value")), "new").otherwise(days.cast("string"))
+    return rows.join(newest, ["key", "field"]).select("key", "field", "value", "at", F.concat_ws(" ", "field", age).alias("source"))
+
+
+def judged_values(claims: DataFrame, **options) -> DataFrame:
+    """``key, field, value, at, probability`` of every different value that ``recency_claims`` found, judged by ``latent_truth``.
+
+    The newest record of a field is trusted beforehand, older ones are not; how much either deserves it is inferred.
+    """
+    col = F.col
+    new = col("source").endswith(" new")
+    priors = claims.select("source").distinct().select(
+        "source", F.when(new, TRUST_NEWEST[0]).otherwise(TRUST_OLDER[0]).alias("sens"), F.when(new, TRUST_NEWEST[1]).otherwise(TRUST_OLDER[1]).alias("fpr")
+    )
+    entity = F.struct("key", "field").alias("entity")
+    truth, _ = latent_truth(claims.select(entity, "value", "source"), priors=priors, weight=TRUST_WEIGHT, **options)
+    last = claims.groupBy(entity, "value").agg(F.max("at").alias("at"))
+    return truth.join(last, ["entity", "value"]).select("entity.key", "entity.field", "value", "at", "probability")
+
+
+def best_values(judged: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``key`` and a column per field: the latest of the values judged true, the most probable one where none is.
+
+    A field without any usable value is null. Map-side partials, so no key is a hot task.
+    """
+    col = F.col
+    true = col("probability") >= 0.5
+    merit = F.struct(true.alias("t"), F.when(true, 0.0).otherwise(col("probability")).alias("p"), "at", "value")
+    picks = [F.max(F.when(col("field") == f, merit)).getField("value").alias(f) for f in fields]
+    return judged.groupBy("key").agg(*picks)
 
 
 def surviving_records(groups: DataFrame, values: DataFrame, key: str, rank: Sequence[str]) -> DataFrame:
@@ -42,54 +79,56 @@ def surviving_records(groups: DataFrame, values: DataFrame, key: str, rank: Sequ
     )
 
 
-def latent_truth(
-    claims: DataFrame,
-    rounds: int = 10,
-    prior_true: tuple[float, float] = (2.0, 2.0),
-    prior_sensitivity: tuple[float, float] = (5.0, 5.0),
-    prior_false_positive: tuple[float, float] = (1.0, 9.0),
-) -> tuple[DataFrame, DataFrame]:
+def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, prior_true: float = 0.5, priors: DataFrame | None = None, weight: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """Which claimed values are true, and how good each source is, by expectation-maximisation.
 
     ``claims``: ``entity, value, source``, one row per statement "the field of entity has value". A source that
     speaks about an entity without naming one of its claimed values denies that value, so each source has a
-    sensitivity (it names true values) and a specificity (it doesn't name false ones), both with beta priors.
+    sensitivity (it names true values) and a specificity (it doesn't name false ones). ``priors`` gives the belief
+    about them beforehand (``source, sens, fpr``; else 0.6 and 0.1), which counts as ``weight`` statements.
     Every value has its own truth variable: several, or none, of an entity's values may be true.
 
-    Returns ``(entity, value, probability)`` and ``(source, sensitivity, specificity)``. Rows with a null in any
-    of the three columns are left out, repeated rows count once, no rows give no rows.
+    Ends as soon as no source's figures move by more than ``tolerance``, after ``rounds`` rounds at most. Returns
+    ``(entity, value, probability)`` and ``(source, sensitivity, specificity)``. Rows with a null in any of the
+    three columns are left out, repeated rows count once, no rows give no rows.
 
     Denials are never listed: an entity's values share the sum of all its speakers' denials, and a value adds
     what changes for the sources that name it. Every step is linear in the claims, with map-side partials.
     """
     col = F.col
-    claims = cut(claims.select("entity", "value", "source").na.drop().distinct())
-    speaks = cut(claims.select("entity", "source").distinct())
-    quality = cut(speaks.select("source").distinct().withColumn("sens", F.lit(0.6)).withColumn("fpr", F.lit(0.1)))
-    deny = F.log((1 - col("sens")) / (1 - col("fpr")))
-    share = log(prior_true[0] / prior_true[1])
-
-    def judge(q: DataFrame) -> DataFrame:
-        denied = speaks.join(q, "source").groupBy("entity").agg(F.sum(deny).alias("base"))
-        named = claims.join(q, "source").groupBy("entity", "value").agg(F.sum(F.log(col("sens") / col("fpr")) - deny).alias("more"))
-        return named.join(denied, "entity").select("entity", "value", (1 / (1 + F.exp(-(col("base") + col("more") + share)))).alias("p"))
-
-    for _ in range(rounds):
-        p = cut(judge(quality))
-        said = claims.join(p, ["entity", "value"]).groupBy("source").agg(F.sum("p").alias("t1"), F.sum(1 - col("p")).alias("f1"))
-        whole = p.groupBy("entity").agg(F.sum("p").alias("t"), F.sum(1 - col("p")).alias("f"))
-        spoke = speaks.join(whole, "entity").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
-        quality = cut(
-            said.join(spoke, "source").select(
-                "source",
-                ((col("t1") + prior_sensitivity[0]) / (col("t") + sum(prior_sensitivity))).alias("sens"),
-                ((col("f1") + prior_false_positive[0]) / (col("f") + sum(prior_false_positive))).alias("fpr"),
-            )
-        )
-    truth = judge(quality).withColumnRenamed("p", "probability")
-    return truth, quality.select("source", col("sens").alias("sensitivity"), (1 - col("fpr")).alias("specificity"))
-
-
-def duplicate_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Groups of tables joined by pairs, directly or through others: ``member, group_id``."""
-    return connected_groups(pairs, a, b)
+    with scratch(claims.sparkSession):
+        claims = cut(claims.select("entity", "value", "source").na.drop().distinct())
+        speaks = cut(claims.select("entity", "source").distinct())
+        known = speaks.select("source").distinct()
+        if priors is not None:
+            known = known.join(priors, "source", "left")
+        else:
+            known = known.withColumns({"sens": F.lit(None).cast("double"), "fpr": F.lit(None).cast("double")})
+        believed = cut(known.select("source", F.coalesce("sens", F.lit(0.6)).alias("sens0"), F.coalesce("fpr", F.lit(0.1)).alias("fpr0")))
+        quality = believed.select("source", col("sens0").alias("sens"), col("fpr0").alias("fpr"))
+        deny = F.log((1 - col("sens")) / (1 - col("fpr")))
+        share = log(prior_true / (1 - prior_true))
+
+        def judge(q: DataFrame) -> DataFrame:
+            denied = speaks.join(q, "source").groupBy("entity").agg(F.sum(deny).alias("base"))
+            named = claims.join(q, "source").groupBy("entity", "value").agg(F.sum(F.log(col("sens") / col("fpr")) - deny).alias("more"))
+            return named.join(denied, "entity").select("entity", "value", (1 / (1 + F.exp(-(col("base") + col("more") + share)))).alias("p"))
+
+        for _ in range(rounds):
+            p = cut(judge(quality))
+            said = claims.join(p, ["entity", "value"]).groupBy("source").agg(F.sum("p").alias("t1"), F.sum(1 - col("p")).alias("f1"))
+            whole = p.groupBy("entity").agg(F.sum("p").alias("t"), F.sum(1 - col("p")).alias("f"))
+            spoke = speaks.join(whole, "entity").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+            new = cut(
+                said.join(spoke, "source").join(believed, "source").join(quality.select("source", col("sens").alias("s"), col("fpr").alias("q")), "source").select(
+                    "source",
+                    ((col("t1") + weight * col("sens0")) / (col("t") + weight)).alias("sens"),
+                    ((col("f1") + weight * col("fpr0")) / (col("f") + weight)).alias("fpr"), "s", "q",
+                )
+            )
+            moved = new.agg(F.max(F.greatest(F.abs(col("sens") - col("s")), F.abs(col("fpr") - col("q"))))).first()[0]
+            quality = new.select("source", "sens", "fpr")
+            if moved is None or moved <= tolerance:
+                break
+        truth = cut(judge(quality).withColumnRenamed("p", "probability"), keep=True)
+        return truth, cut(quality.select("source", col("sens").alias("sensitivity"), (1 - col("fpr")).alias("specificity")), keep=True)
