@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twintable.functions.names import clean_name
 from twintable.operators.hierarchy import hierarchy
 from twintable.operators.sessions import sessionize, visits_report
-from twintable.runtime import table
+from twintable.runtime import checkpoint_dir, table
+from twintable.streaming.sessions import stream_sessions
 
 
 def lineage_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,11 +36,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return visits_report(sessionize(table(spark, folder, "user_events")))
 
 
+def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same visits from the rows as a stream, file by file, with late events merged into closed visits."""
+    t = table(spark, folder, "user_events")
+    # The pattern lets the stream read a single file as well as a folder of files.
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/user_events.parque[t]")
+    work = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return visits_report(stream_sessions(stream, work).visits())
+
+
 def clean_sql(name: str) -> str:
     return f"nullif(lower(trim(replace({name}, '`', ''), chr(32) || chr(9) || chr(10) || chr(13))), '')"
 
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p6_found": p6_found, "p6_stream": p6_stream}
 
 SQL = {
     "p2_found": f"""
@@ -90,3 +102,4 @@ SELECT user_id, strftime(min(t), '%Y-%m-%d %H:%M:%S.%g') AS session_start,
        strftime(max(t), '%Y-%m-%d %H:%M:%S.%g') AS session_end, count(*) AS event_count
 FROM v GROUP BY user_id, visit""",
 }
+SQL["p6_stream"] = SQL["p6_found"]
