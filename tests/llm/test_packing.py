@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from twintable.llm.packing import best_fit_decreasing, lower_bound, pack
+from twintable.llm.packing import best_fit_decreasing, bound_of, certified, lower_bound, pack, pieces_of
 
 
 @settings(max_examples=200, deadline=None)
@@ -55,3 +55,16 @@ def test_repeated_rows_are_items_of_their_own(spark):
     for r in rows:
         load[r.container] = load.get(r.container, 0) + r.size
     assert sorted(load.values()) == [5, 6, 6, 6, 10, 10, 10, 10]
+
+
+def test_certificate(spark):
+    rnd = random.Random(7)
+    sizes = {f"i{i}": rnd.randrange(1, 700) for i in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "k string, n int")
+    rows, proof = certified(df, "k", "n", 1000, part_items=200)
+    used = check(rows.collect(), sizes, 1000)
+    proof = proof.collect()
+    assert all(0 < r.bound <= r.containers <= r.items for r in proof)
+    assert sum(r["items"] for r in proof if r.level == 0) == 3000 and len({r.level for r in proof}) > 3
+    bound = bound_of(pieces_of(df, "k", "n", 1000), 1000)
+    assert bound == lower_bound(np.array(list(sizes.values())), 1000) and bound <= used <= 1.01 * bound + 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,16 +13,21 @@ from twintable.runtime import cut, parallelism
 
 #: Items of a partition on average.
 PART_ITEMS = 20_000
+#: Partitions whose containers are counted together.
+GROUP = 1_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs, by dual feasible functions.
+    return bound_of_counts(np.bincount(sizes[sizes > 0], minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """Containers that any packing of so many items of each size needs, by dual feasible functions.
 
     For each threshold t up to half the capacity: items above capacity - t fill a container each, items up to
     capacity - t but above half of it are in different containers, items from t to half can only use the room
     that these leave.
     """
-    counts = np.bincount(sizes[sizes > 0], minlength=capacity + 1)[: capacity + 1]
     many, mass = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     half = capacity // 2
     t = np.arange(0, half + 1)
@@ -78,27 +83,47 @@ def _pack(capacity: int, last: bool):
     return run
 
 
+def pieces_of(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """``id, piece, size``: items whole, longer ones cut into pieces of ``capacity`` and a rest; a null or negative size counts as 0."""
+    col = F.col
+    base = items.select(col(key).alias("id"), F.greatest(F.coalesce(col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("whole"))
+    last = F.greatest(F.ceil(col("whole") / capacity).cast("int") - 1, F.lit(0))
+    return base.select("id", "whole", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
+        "id", "piece", F.least(F.lit(capacity), col("whole") - col("piece") * capacity).cast("int").alias("size")
+    )
+
+
+def bound_of(pieces: DataFrame, capacity: int) -> int:
+    """Containers that any packing of all ``pieces`` needs. At most ``capacity`` counts come to the driver, whatever the number of pieces."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.where(F.col("size") > 0).groupBy("size").agg(F.count("*").alias("n")).collect():
+        counts[r["size"]] = r["n"]
+    return bound_of_counts(counts, capacity)
+
+
 def pack(items: DataFrame, key: str, size: str, capacity: int, part_items: int = PART_ITEMS) -> DataFrame:
-    """``id, piece, size, container``: every item in a container of ``capacity``, whole unless longer than it.
+    """``id, piece, size, container``: every item in a container of ``capacity``, whole unless longer than it. See ``certified``."""
+    return certified(items, key, size, capacity, part_items)[0]
+
+
+def certified(items: DataFrame, key: str, size: str, capacity: int, part_items: int = PART_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """The assignment ``id, piece, size, container``, and what certifies it: ``level, part, items, containers, bound``.
 
     Longer items are cut into pieces of exactly ``capacity``, which fill a container each, and a rest. Items are
     spread over partitions by hash. Each packs its own by best-fit decreasing and compares the number of
-    containers with a lower bound from dual feasible functions: the bound certifies what is optimal. The least
-    filled containers, four for each one above the bound, are opened again, their items go to half as many
-    partitions, and these pack anew; the last of the log2 rounds leaves one partition. What moves is a few
-    containers per partition, so that no round but the first handles more than a small share of the items.
+    containers with a lower bound from dual feasible functions: where ``containers`` equals ``bound``, the
+    packing of that partition is certified optimal. The least filled containers, four for each one above the
+    bound, are opened again, their items go to half as many partitions (the next level), and these pack anew;
+    the last of the log2 rounds leaves one partition. What moves is a few containers per partition, so that no
+    round but the first handles more than a small share of the items.
 
     Containers are numbered 0, 1, 2 ... Defined cases: a null or negative size counts as 0; items of size 0 take
     no room and go into container 0; equal items are placed in order of key; repeated keys and rows are items of
     their own; an empty table gives no rows.
     """
     spark, col = items.sparkSession, F.col
-    base = items.select(col(key).alias("id"), F.greatest(F.coalesce(col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("whole"))
-    last = F.greatest(F.ceil(col("whole") / capacity).cast("int") - 1, F.lit(0))
-    pieces = cut(
-        base.select("id", "whole", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-        .select("id", "piece", F.least(F.lit(capacity), col("whole") - col("piece") * capacity).cast("int").alias("size"))
-    )
+    kind = items.schema[key].dataType.simpleString()
+    pieces = cut(pieces_of(items, key, size, capacity))
     full = pieces.where(col("size") == capacity)
     todo = pieces.where((col("size") > 0) & (col("size") < capacity))
     n = todo.count()
@@ -107,26 +132,31 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, part_items: int =
         parts *= 2
     first_parts = parts
     spread = lambda k, salt: F.pmod(F.xxhash64("id", "piece", F.lit(salt)), F.lit(k)).cast("int")
-    schema = "id bigint, piece int, size int, part int, box bigint, placed boolean, bins bigint, gap bigint"
+    schema = f"id {kind}, piece int, size int, part int, box bigint, placed boolean, bins bigint, gap bigint"
     done: list[DataFrame] = []
+    proofs: list[DataFrame] = []
     todo, level = todo.withColumn("part", spread(parts, 0)), 0
     while True:
         packed = cut(todo.groupBy("part").applyInPandas(_pack(capacity, parts == 1), schema))
         done.append(packed.where("placed").select("id", "piece", "size", F.lit(level).alias("level"), "part", "box"))
+        proof = packed.groupBy("part").agg(F.count("*").alias("items"), F.max("bins").alias("containers"), F.max(col("bins") - col("gap")).alias("bound"))
+        proofs.append(proof.select(F.lit(level).alias("level"), "part", "items", "containers", "bound"))
         if parts == 1:
             break
         parts, level = parts // 2, level + 1
         todo = packed.where("not placed").select("id", "piece", "size", spread(parts, level).alias("part"))
-    rows = done[0].select("id", "piece", "size", "level", "part", "box", F.lit(0).cast("bigint").alias("i"), F.lit(0).alias("j"))
-    for d in done[1:]:
-        rows = rows.unionByName(d.select("id", "piece", "size", "level", "part", "box", F.lit(0).cast("bigint").alias("i"), F.lit(0).alias("j")))
+    rows = reduce(DataFrame.unionByName, done).select("*", F.lit(None).cast(kind).alias("i"), F.lit(0).alias("j"))
     alone = full.select("id", "piece", "size", F.lit(-1).alias("level"), spread(first_parts, -1).alias("part"), F.lit(0).cast("bigint").alias("box"), col("id").alias("i"), col("piece").alias("j"))
     # Dense numbers: containers are numbered within their partition, partitions start where the ones before end.
     w = Window.partitionBy("level", "part").orderBy("box", "i", "j")
     number = F.when(col("level") < 0, F.row_number().over(w)).otherwise(F.dense_rank().over(w))
     ranked = cut(rows.unionByName(alone).withColumn("r", number - 1))
-    counts = ranked.groupBy("level", "part").agg((F.max("r") + 1).alias("m"))
-    starts = counts.select("level", "part", (F.sum("m").over(Window.orderBy("level", "part")) - col("m")).alias("start"))
-    numbered = ranked.join(F.broadcast(starts), ["level", "part"]).select("id", "piece", "size", (col("start") + col("r")).cast("bigint").alias("container"))
+    counts = cut(ranked.groupBy("level", "part").agg((F.max("r") + 1).alias("m")).withColumn("group", F.floor(col("part") / GROUP)))
+    # Sums before a partition in two steps: only a row per GROUP partitions is ever in one task.
+    groups = counts.groupBy("level", "group").agg(F.sum("m").alias("k"))
+    groups = groups.select("level", "group", (F.sum("k").over(Window.orderBy("level", "group")) - col("k")).alias("base"))
+    inside = F.sum("m").over(Window.partitionBy("level", "group").orderBy("part")) - col("m")
+    starts = counts.withColumn("inside", inside).join(groups, ["level", "group"]).select("level", "part", (col("base") + col("inside")).alias("start"))
+    numbered = ranked.join(starts, ["level", "part"]).select("id", "piece", "size", (col("start") + col("r")).cast("bigint").alias("container"))
     nothing = pieces.where("size = 0").select("id", "piece", "size", F.lit(0).cast("bigint").alias("container"))
-    return numbered.unionByName(nothing)
+    return numbered.unionByName(nothing), reduce(DataFrame.unionByName, proofs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twintable.functions.names import clean_name
 from twintable.llm.components import connected_groups
 from twintable.llm.knn import nearest
-from twintable.llm.packing import pack
+from twintable.llm.packing import bound_of, certified, pack, pieces_of
 from twintable.llm.prose import odd_share, odd_texts
 from twintable.llm.setjoin import similar_sets
 from twintable.llm.survivorship import best_values, judged_values, recency_claims, surviving_records
@@ -104,6 +104,21 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "n", 2048).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container")
 
 
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews packed by their characters: items, their sum, containers that any packing needs, and whether ours are hardly more."""
+    t = table(spark, folder, "documents")
+    pieces = cut(pieces_of(t, "doc_id", "n_chars", 2048))
+    bound = bound_of(pieces, 2048)
+    rows, proof = certified(t, "doc_id", "n_chars", 2048)
+    load = rows.where("size > 0").groupBy("container").agg(F.sum("size").alias("load"))
+    used = load.agg(F.count("*").alias("used"), F.max("load").alias("fullest"))
+    # No partition's bound may exceed what it used, nor all together fall short of the bound of all pieces.
+    sound = proof.agg(F.coalesce(F.every(F.col("bound") <= F.col("containers")), F.lit(True)).alias("sound"))
+    total = pieces.agg(F.count("*").alias("pieces"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"))
+    fine = F.col("sound") & F.coalesce(F.col("fullest") <= 2048, F.lit(True)) & F.col("used").between(bound, 1.01 * bound + 1)
+    return total.crossJoin(used).crossJoin(sound).select("pieces", "size", F.lit(bound).cast("bigint").alias("bound"), fine.alias("certified"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return odd_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
@@ -124,6 +139,7 @@ QUERIES = {
     "p5_truth": p5_truth,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p8_bounds": p8_bounds,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
@@ -198,6 +214,17 @@ q{i + 1} AS MATERIALIZED (
 
 
 SQL = {
+    "p8_bounds": """
+WITH d AS (SELECT greatest(coalesce(n_chars, 0), 0) AS n FROM documents),
+p AS (SELECT least(2048, n - 2048 * k) AS s FROM (SELECT n, unnest(range(greatest(CAST(ceil(n / 2048) AS BIGINT), 1))) AS k FROM d)),
+c AS (SELECT s, count(*) AS m FROM p WHERE s > 0 GROUP BY s),
+b AS (
+  SELECT t, sum(m) FILTER (WHERE s > 2048 - t) AS huge, sum(m) FILTER (WHERE s > 1024 AND s <= 2048 - t) AS large,
+    sum(m * s) FILTER (WHERE s > 1024 AND s <= 2048 - t) AS large_mass, sum(m * s) FILTER (WHERE s BETWEEN t AND 1024) AS middle
+  FROM range(1025) r(t), c GROUP BY t)
+SELECT (SELECT count(*) FROM p) AS pieces, CAST((SELECT sum(s) FROM p) AS BIGINT) AS size,
+  CAST(max(coalesce(huge, 0) + coalesce(large, 0) + greatest(0, ceil((coalesce(middle, 0) - (2048 * coalesce(large, 0) - coalesce(large_mass, 0))) / 2048))) AS BIGINT) AS bound, TRUE AS certified
+FROM b""",
     "p5_truth": _truth_sql(),
     "p1_found": f"{_PAIRS} SELECT a AS table_a, b AS table_b FROM p",
     "p1_ratios": f"{_PAIRS} SELECT a AS table_a, b AS table_b, k AS common_source_count, round(ratio, 6) AS source_overlap_ratio FROM p",
