@@ -35,8 +35,8 @@ def run(spark, sets, extra=(), **options):
     return set(got)
 
 
-@pytest.mark.parametrize("seed,block", [(1, 4000), (2, 6)])
-def test_random_sets_with_a_hot_value(spark, seed, block):
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"block_values": 6, "class_rows": 2})])
+def test_random_sets_with_a_hot_value(spark, seed, options):
     rnd = random.Random(seed)
     sets = {}
     for i in range(90):
@@ -47,7 +47,7 @@ def test_random_sets_with_a_hot_value(spark, seed, block):
     sets["t06"] = set(sets["t04"])
     want = brute(sets, 0.8, 3)
     assert len(want) > 10
-    assert run(spark, sets, block_rows=block) == want
+    assert run(spark, sets, **options) == want
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -55,3 +55,12 @@ def test_nulls_repeats_and_empty(spark):
     extra = [("a", "x"), (None, "x"), ("a", None), (None, None)]
     assert run(spark, sets, extra) == {("a", "b", 3, 1.0)}
     assert run(spark, {}) == set()
+
+
+def test_large_sets_and_large_classes(spark):
+    sets = {f"same{i:03}": {f"v{j}" for j in range(4)} for i in range(60)}
+    sets |= {f"near{i}": {f"v{j}" for j in range(4)} | {f"own{i}"} for i in range(5)}
+    sets["huge"] = {f"v{j}" for j in range(4)} | {f"h{j}" for j in range(3000)}
+    sets["half"] = {f"h{j}" for j in range(0, 3000, 2)} | {"x"}
+    got = run(spark, sets, block_values=50, class_rows=7)
+    assert got == brute(sets, 0.8, 3)
