@@ -46,17 +46,22 @@ def test_rollup_window_and_catalog(spark, demo):
     assert lineage.rollup(MetadataSource(spark), 15).count() == 0
 
 
-def test_common_ancestors_equals_pairwise_comparison(spark):
+@pytest.mark.parametrize("slice_rows", [10_000, 4])
+def test_common_ancestors_against_plain_sets(spark, slice_rows):
     import random
 
     rnd = random.Random(2)
-    edges = [(f"s{rnd.randrange(9)}", f"t{rnd.randrange(14):02}", "j", 20) for _ in range(60)]
+    edges = [(f"s{rnd.randrange(9)}", f"t{rnd.randrange(14):02}", "j", 20) for _ in range(60)] + [("hot", f"t{i:02}", "j", 20) for i in range(14)]
+    edges += [(s, "copy", "j", 20) for s, t, *_ in edges if t == "t03"] + [("alone", "lonely", "j", 20)]
+    sets = {}
+    for s, t, *_ in edges:
+        sets.setdefault(E + t, set()).add(E + s)
     r = lineage.rollup(source(spark, edges), 30)
-    for t in (0.0, 0.5, 1.0):
-        a = lineage.common_ancestors(r, t, with_sources=True)
-        b = lineage.common_ancestors(r, t, with_sources=True, strategy="theta").select(*a.columns)
-        assert a.count() > 0
-        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    for t in (0.0, 0.5, 0.8, 1.0):
+        want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= t}
+        got = lineage.common_ancestors(r, t, with_sources=True, slice_rows=slice_rows).collect()
+        assert want and {(p.table_a, p.table_b, p.common_source_count) for p in got} == want and len(got) == len(want)
+        assert all(p.common_sources == sorted(sets[p.table_a] & sets[p.table_b]) and p.sources_a == sorted(sets[p.table_a]) for p in got)
 
 
 def test_vectors(spark):
@@ -191,3 +196,14 @@ def test_schema_texts_of_many_requested_names(spark):
     got = schema_text.schema_texts(source, asked).collect()
     assert len(every) == 40 and len(got) == len({*names[::2], *names[:6]})
     assert {r.full_table_name: r.schema_text for r in got} == {n: every[n] for n in {*names[::2], *names[:6]}}
+
+
+def test_hashing_prunes_and_finds(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 64))[rng.integers(0, 60, 600)] + 0.45 * rng.standard_normal((600, 64))
+    df = spark.createDataFrame([(f"t{i:03}", v.tolist()) for i, v in enumerate(x)], "full_table_name string, embedding array<double>")
+    exact = {(r.table_a, r.table_b) for r in similarity.cosine_pairs(df, threshold=0.8).collect()}
+    found = {(r.table_a, r.table_b) for r in similarity.lsh_pairs(df, threshold=0.8).collect()}
+    assert len(exact) > 500 and found <= exact and len(found) >= 0.9 * len(exact)
+    tried = similarity.lsh_candidates(df.select(F.col("full_table_name").alias("name"), F.col("embedding").alias("v")), 30, 10, 42).count()
+    assert tried < 0.12 * 600 * 599 / 2

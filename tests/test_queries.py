@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 FOLDER = Path("/root/testdata/sf0.001")
-CORE = [n for m in (__spark_entry__.catalog_queries, __spark_entry__.medallion, __spark_entry__.problem_queries) for n in m.QUERIES]
+CORE = [n for m in (__spark_entry__.catalog_queries, __spark_entry__.medallion, __spark_entry__.workload, __spark_entry__.problem_queries) for n in m.QUERIES]
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="test tables are not here")
 
 
@@ -39,3 +39,18 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns
+
+
+def test_workload_fills_typed_tables(spark):
+    prefix = "shop_"
+    names = __spark_entry__.workload.load_workload(spark, str(FOLDER), prefix)
+    try:
+        assert __spark_entry__.workload.load_workload(spark, str(FOLDER), prefix) == names
+        kpi = spark.table(f"{prefix}gold.monthly_kpi")
+        assert dict(kpi.dtypes)["revenue"] == "decimal(20,2)" and kpi.count() == 2 * kpi.select("month").distinct().count() > 0
+        assert all(spark.table(n).count() for n in names)
+        comments = {r.col_name: r.comment for r in spark.sql(f"DESCRIBE {prefix}silver.orders_cleaned").collect()}
+        assert comments["amount"] == "converted"
+    finally:
+        for layer in ("silver", "gold", "legacy", "mart"):
+            spark.sql(f"DROP SCHEMA IF EXISTS {prefix}{layer} CASCADE")

@@ -19,6 +19,7 @@ def fuse(similar: DataFrame, ancestors: DataFrame, with_sources: bool = False) -
     a = ancestors.select("table_a", "table_b", "common_source_count", "source_overlap_ratio", *extra)
     both = similar.select("table_a", "table_b", "cosine_similarity").join(a, ["table_a", "table_b"], "full_outer")
     schema, lineage = col("cosine_similarity").isNotNull(), col("source_overlap_ratio").isNotNull()
+    # Weights 0.6 and 0.4, and 0.8 as the limit of an overlap that is MEDIUM by itself.
     level = F.when(schema & lineage, "HIGH").when(schema | (col("source_overlap_ratio") >= 0.8), "MEDIUM").otherwise("LOW")
     score = 0.6 * F.coalesce("cosine_similarity", F.lit(0.0)) + 0.4 * F.coalesce("source_overlap_ratio", F.lit(0.0))
     return both.withColumns({"has_schema_similarity": schema, "has_common_ancestors": lineage, "combined_score": score, "confidence_level": level})
@@ -28,9 +29,10 @@ def find_candidates(
     embeddings: DataFrame, ancestors: DataFrame, similarity_threshold: float = 0.8, overlap_threshold: float = 0.5,
     use_lsh: bool = False, with_sources: bool = False,
 ) -> DataFrame:
-    """Candidates from embeddings and ``common_ancestors``; ``use_lsh`` looks for similar schemas approximately."""
+    """Candidates from embeddings and ``common_ancestors``, the best first; ``use_lsh`` looks for similar schemas approximately."""
     similar = (lsh_pairs if use_lsh else cosine_pairs)(embeddings, threshold=similarity_threshold)
-    return fuse(similar, ancestors.where(F.col("source_overlap_ratio") >= overlap_threshold), with_sources)
+    found = fuse(similar, ancestors.where(F.col("source_overlap_ratio") >= overlap_threshold), with_sources)
+    return found.orderBy(F.desc("combined_score"), "table_a", "table_b")
 
 
 def enrich(candidates: DataFrame, tables: DataFrame) -> DataFrame:

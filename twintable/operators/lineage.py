@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twintable.runtime import cut
 from twintable.sources.metadata import MetadataSource
 
+#: Targets of a source that one task pairs with others.
+SLICE_ROWS = 10_000
+
 KEYS = [
     "source_table_full_name", "source_table_catalog", "source_table_schema", "source_table_name",
     "target_table_full_name", "entity_type", "entity_id",
@@ -36,36 +40,44 @@ def parents(lineage: DataFrame) -> DataFrame:
     return edges(lineage).groupBy("target").agg(F.array_sort(F.collect_set("source")).alias("source_tables"), F.count("*").alias("source_count"))
 
 
-def common_ancestors(lineage: DataFrame, threshold: float = 0.0, with_sources: bool = False, strategy: str = "equi") -> DataFrame:
+def common_ancestors(lineage: DataFrame, threshold: float = 0.0, with_sources: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Pairs of targets that share a source: ``table_a, table_b, common_source_count, source_overlap_ratio``.
 
-    The ratio is common sources / size of the smaller set. ``equi`` joins edges on the source and counts; the
-    sizes travel with the edges, so the pairs are shuffled once. ``theta`` compares all pairs of source lists
-    and is for checking on few tables. ``with_sources`` adds the three sorted lists, fetched for the surviving
-    pairs only.
+    The ratio is common sources / size of the smaller set. A pair that reaches the threshold shares one of the
+    rarest ``n - ceil(threshold n) + 1`` sources of the target with fewer (``n``; of equal ones the smaller name),
+    so only these look for partners, and common sources meet rarely. Without a threshold every pair with a common
+    source is a result. Edges of a source with more than ``slice_rows`` targets are cut into slices on one side
+    and repeated on the other, so no task gets all pairs of a hot source. Common sources are then counted for the
+    candidates, over the edges of the target with fewer. ``with_sources`` adds the three sorted lists, fetched for
+    the surviving pairs only.
     """
     col = F.col
-    if strategy == "theta":
-        p = parents(lineage)
-        a = p.select(col("target").alias("table_a"), col("source_tables").alias("sources_a"))
-        b = p.select(col("target").alias("table_b"), col("source_tables").alias("sources_b"))
-        pairs = a.join(b, col("table_a") < col("table_b")).withColumn("common_sources", F.array_sort(F.array_intersect("sources_a", "sources_b")))
-        k = F.size("common_sources")
-        pairs = pairs.withColumn("common_source_count", k.cast("bigint")).where("common_source_count > 0")
-        pairs = pairs.withColumn("source_overlap_ratio", col("common_source_count") / F.least(F.size("sources_a"), F.size("sources_b")))
-        keep = ["table_a", "table_b", "common_source_count", "source_overlap_ratio", *(["sources_a", "sources_b", "common_sources"] if with_sources else [])]
-        return pairs.where(col("source_overlap_ratio") >= threshold).select(*keep)
     e = edges(lineage)
-    sized = e.join(e.groupBy("target").agg(F.count("*").alias("n")), "target")
-    a = sized.select("source", col("target").alias("table_a"), col("n").alias("na"))
-    b = sized.select("source", col("target").alias("table_b"), col("n").alias("nb"))
-    counted = (
-        a.join(b, "source").where("table_a < table_b")
-        .groupBy("table_a", "table_b").agg(F.count("*").alias("common_source_count"), F.min(F.least("na", "nb")).alias("smaller"))
-    )
-    pairs = counted.withColumn("source_overlap_ratio", col("common_source_count") / col("smaller")).where(col("source_overlap_ratio") >= threshold).drop("smaller")
-    if not with_sources:
-        return pairs
+    used = e.groupBy("source").agg(F.count("*").alias("f"))
+    sized = cut(e.join(e.groupBy("target").agg(F.count("*").alias("n")), "target").join(used, "source"))
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("f", "source"))
+    need = F.greatest(F.ceil(F.lit(threshold) * col("n") - F.lit(1e-9)), F.lit(1))
+    slices = F.ceil(col("f") / slice_rows).cast("int")
+    few = sized.withColumn("r", rank).where(col("r") <= col("n") - need + 1).where("f > 1")
+    few = few.select("source", col("target").alias("small"), col("n").alias("ns"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    many = sized.where("f > 1").select("source", col("target").alias("large"), col("n").alias("nl"), F.pmod(F.xxhash64("target"), slices).cast("int").alias("slice"))
+    first = (col("ns") < col("nl")) | ((col("ns") == col("nl")) & (col("small") < col("large")))
+    found = few.join(many, ["source", "slice"]).where(first)
+    if threshold > 0:
+        found = found.select("small", "large", "ns").distinct()
+        shared = found.join(e.select(col("target").alias("small"), "source"), "small").join(e.select(col("target").alias("large"), "source"), ["large", "source"], "left_semi")
+    else:
+        shared = found
+    counted = shared.groupBy("small", "large", "ns").agg(F.count("*").alias("common_source_count"))
+    pairs = counted.select(
+        F.least("small", "large").alias("table_a"), F.greatest("small", "large").alias("table_b"), "common_source_count", (col("common_source_count") / col("ns")).alias("source_overlap_ratio")
+    ).where(col("source_overlap_ratio") >= threshold)
+    return with_lists(pairs, lineage) if with_sources else pairs
+
+
+def with_lists(pairs: DataFrame, lineage: DataFrame) -> DataFrame:
+    """``pairs`` of targets with the sorted lists of their sources and of the common ones."""
+    col = F.col
     lists = parents(lineage).select("target", "source_tables")
     return (
         pairs.join(lists.select(col("target").alias("table_a"), col("source_tables").alias("sources_a")), "table_a")

@@ -80,6 +80,7 @@ def sot_decision(pairs: DataFrame, usage: DataFrame, creation: DataFrame) -> Dat
     wins_a, tie = c("score_a") > c("score_b"), c("score_a") == c("score_b")
     lesser, greater = F.least("table_a", "table_b"), F.greatest("table_a", "table_b")
     more = lambda t, x, y: F.concat(c(t), F.lit(" has more reads ("), c(x).cast("string"), F.lit(" vs "), c(y).cast("string"), F.lit(")"))
+    # The sentences of reasons.
     reasons = F.array(
         F.when(reads_a, more("table_a", "read_count_a", "read_count_b")).when(reads_b, more("table_b", "read_count_b", "read_count_a")),
         F.when(wrote, F.concat(F.when(late_a, c("table_a")).otherwise(c("table_b")), F.lit(" was updated more recently"))),
@@ -98,7 +99,7 @@ def sot_decision(pairs: DataFrame, usage: DataFrame, creation: DataFrame) -> Dat
 
 
 def savings(decided: DataFrame, usage: DataFrame, storage: DataFrame, cost_per_write: float = 0.0) -> DataFrame:
-    """Adds what removing ``duplicate_table`` saves: pipelines_to_remove, storage_savings_gb, monthly_savings, and how sure that is.
+    """Adds what removing ``duplicate_table`` saves: pipelines_to_remove, storage_savings_gb, monthly_dbu_savings_usd, and how sure that is.
 
     ``cost_per_write`` is the caller's monthly cost of a counted write; no price is built in.
     """
@@ -113,7 +114,7 @@ def savings(decided: DataFrame, usage: DataFrame, storage: DataFrame, cost_per_w
         {
             "pipelines_to_remove": jobs,
             "storage_savings_gb": gb,
-            "monthly_savings": F.coalesce("w", F.lit(0)) * F.lit(float(cost_per_write)),
+            "monthly_dbu_savings_usd": F.coalesce("w", F.lit(0)) * F.lit(float(cost_per_write)),
             "savings_confidence": F.when(active == 2, "HIGH").when(active == 1, "MEDIUM").otherwise("LOW"),
             "savings_notes": F.when(active == 2, "Estimation based on available data").otherwise(notes),
         }
@@ -124,13 +125,14 @@ def comment_text(similarity: Column, sources: Column) -> Column:
     """Three to five sentences about a decided pair; three reasons and three common sources at most are named."""
     c = F.col
     few = F.array_join(F.slice(sources, 1, 3), ", ")
+    # The sentences of a recommendation.
     return F.concat_ws(
         " ",
         F.concat(F.lit("Tables "), "sot_table", F.lit(" and "), "duplicate_table", F.lit(" have "), (similarity * 100).cast("int").cast("string"), F.lit("% similar column structure.")),
         F.when(F.size(sources) > 0, F.concat(F.lit("Both tables are derived from the same source ("), few, F.when(F.size(sources) > 3, "...").otherwise(""), F.lit(")."))),
         F.when(F.size("reasons") > 0, F.concat(F.lit("Decision rationale: "), F.array_join(F.slice("reasons", 1, 3), "; "))),
         F.concat(F.lit("Recommendation: Remove '"), "duplicate_table", F.lit("' and use '"), "sot_table", F.lit("' as the Source of Truth (SoT).")),
-        F.when(c("monthly_savings") > 0, F.concat(F.lit("Estimated monthly savings: "), F.format_string("%.2f", c("monthly_savings")), F.lit(", Pipelines to remove: "), c("pipelines_to_remove").cast("string"))),
+        F.when(c("monthly_dbu_savings_usd") > 0, F.concat(F.lit("Estimated monthly DBU savings: $"), F.format_string("%.2f", c("monthly_dbu_savings_usd")), F.lit(", Pipelines to remove: "), c("pipelines_to_remove").cast("string"))),
     )
 
 
@@ -149,7 +151,7 @@ def recommendations(candidates: DataFrame, usage: DataFrame, creation: DataFrame
         F.coalesce("combined_score", F.lit(0.0)).alias("combined_score"),
         F.coalesce("confidence_level", "sot_confidence").alias("confidence_level"),
         comment_text(score, F.coalesce("common_sources", F.array().cast("array<string>"))).alias("recommendation"),
-        "monthly_savings", "storage_savings_gb", c("pipelines_to_remove").cast("bigint").alias("pipelines_to_remove"),
+        "monthly_dbu_savings_usd", "storage_savings_gb", c("pipelines_to_remove").cast("bigint").alias("pipelines_to_remove"),
     )
 
 
@@ -170,7 +172,7 @@ def summary(recs: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return recs.agg(
         F.count("*").alias("total_recommendations"),
-        F.coalesce(F.sum("monthly_savings"), zero).alias("total_monthly_savings"),
+        F.coalesce(F.sum("monthly_dbu_savings_usd"), zero).alias("total_monthly_savings"),
         F.coalesce(F.sum("storage_savings_gb"), zero).alias("total_storage_savings_gb"),
         F.coalesce(F.sum("pipelines_to_remove"), F.lit(0).cast("bigint")).alias("total_pipelines_to_remove"),
         F.coalesce(F.avg("similarity_score"), zero).alias("average_similarity"),

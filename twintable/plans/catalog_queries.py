@@ -138,7 +138,7 @@ def q18_savings(spark: SparkSession, folder: str) -> DataFrame:
     names = recommend.pair_names(c)
     usage = recommend.usage_stats(s, names)
     d = recommend.savings(recommend.sot_decision(c, usage, recommend.creation_info(s, names)), usage, recommend.storage_gb(s), WEIGHT)
-    return d.select("table_a", "table_b", "pipelines_to_remove", F.round("storage_savings_gb", 4).alias("storage_savings_gb"), F.round("monthly_savings", 2).alias("monthly_savings"), "savings_confidence", "savings_notes")
+    return d.select("table_a", "table_b", "pipelines_to_remove", F.round("storage_savings_gb", 4).alias("storage_savings_gb"), F.round("monthly_dbu_savings_usd", 2).alias("monthly_dbu_savings_usd"), "savings_confidence", "savings_notes")
 
 
 def _recommended(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,7 @@ def q19_recommendation_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def q20_recommendations(spark: SparkSession, folder: str) -> DataFrame:
     r = _recommended(spark, folder)
-    rounded = [F.round(x, 6).alias(x) for x in ("similarity_score", "combined_score", "monthly_savings", "storage_savings_gb")]
+    rounded = [F.round(x, 6).alias(x) for x in ("similarity_score", "combined_score", "monthly_dbu_savings_usd", "storage_savings_gb")]
     return r.select("table_a", "table_b", "sot_table", "duplicate_table", *rounded, "confidence_level", "pipelines_to_remove")
 
 
@@ -194,6 +194,21 @@ def q41_lsh_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.lsh_pairs(demo.embeddings(spark, folder), threshold=0.8)
 
 
+def q41_lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashing against all exact pairs: how many there are, how many found ones are wrong, and whether 0.9 of them are found."""
+    e = demo.embeddings(spark, folder)
+    exact = cut(similarity.cosine_pairs(e, threshold=0.8).select("table_a", "table_b", F.lit(1).alias("exact")))
+    found = similarity.lsh_pairs(e, threshold=0.8).select("table_a", "table_b", F.lit(1).alias("found"))
+    both = exact.join(found, ["table_a", "table_b"], "full_outer")
+    hits = F.count(F.when(F.col("exact").isNotNull() & F.col("found").isNotNull(), 1))
+    return both.agg(F.count("exact").alias("pairs"), F.count(F.when(F.col("exact").isNull(), 1)).alias("wrong"), (hits >= 0.9 * F.count("exact")).alias("recall_reached"))
+
+
+def q63_recent_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a short window with nearly equal sources: both limits leave rows out."""
+    return _pairs(lineage.common_ancestors(_rollup(spark, folder, 12), 0.95))
+
+
 def q42_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.clusters(demo.embeddings(spark, folder)).select("full_table_name", "cluster_id", "cluster_size")
 
@@ -315,7 +330,7 @@ sav AS (
 _TEXT = """'Tables ' || keep || ' and ' || dup || ' have ' || CAST(trunc(coalesce(s, score) * 100) AS INTEGER) || '% similar column structure.'
   || CASE WHEN len(why) > 0 THEN ' Decision rationale: ' || array_to_string(why[1:3], '; ') ELSE '' END
   || ' Recommendation: Remove ''' || dup || ''' and use ''' || keep || ''' as the Source of Truth (SoT).'
-  || CASE WHEN money > 0 THEN ' Estimated monthly savings: ' || printf('%.2f', money) || ', Pipelines to remove: ' || jobs ELSE '' END"""
+  || CASE WHEN money > 0 THEN ' Estimated monthly DBU savings: $' || printf('%.2f', money) || ', Pipelines to remove: ' || jobs ELSE '' END"""
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%g')"
 
 SQL = {
@@ -353,13 +368,13 @@ SELECT a AS source_table, b AS target_table, round(s, 6) AS similarity_score FRO
   x.own = y.own AS same_owner FROM cand LEFT JOIN tab x ON x.n = a LEFT JOIN tab y ON y.n = b""",
     "q16_sot_decision": f"WITH {_SOT} SELECT a AS table_a, b AS table_b, pa AS score_a, pb AS score_b, keep AS sot_table, dup AS duplicate_table, sc AS sot_confidence FROM sot",
     "q17_sot_reasons": f"WITH {_SOT} SELECT a AS table_a, b AS table_b, array_to_string(why, '; ') AS reasons FROM sot",
-    "q18_savings": f"""WITH {_SAVE} SELECT a AS table_a, b AS table_b, jobs AS pipelines_to_remove, round(gb, 4) AS storage_savings_gb, round(money, 2) AS monthly_savings,
+    "q18_savings": f"""WITH {_SAVE} SELECT a AS table_a, b AS table_b, jobs AS pipelines_to_remove, round(gb, 4) AS storage_savings_gb, round(money, 2) AS monthly_dbu_savings_usd,
   CASE act WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS savings_confidence,
   CASE WHEN act = 2 THEN 'Estimation based on available data' ELSE concat_ws('; ', CASE WHEN jobs = 0 THEN 'No pipeline activity detected' END,
     CASE WHEN gb = 0 THEN 'Storage size could not be determined' END) END AS savings_notes FROM sav""",
     "q19_recommendation_text": f"WITH {_SAVE} SELECT a AS table_a, b AS table_b, {_TEXT} AS recommendation FROM sav",
     "q20_recommendations": f"""WITH {_SAVE} SELECT a AS table_a, b AS table_b, keep AS sot_table, dup AS duplicate_table, round(coalesce(s, 0), 6) AS similarity_score,
-  round(score, 6) AS combined_score, round(money, 6) AS monthly_savings, round(gb, 6) AS storage_savings_gb, level AS confidence_level, jobs AS pipelines_to_remove FROM sav""",
+  round(score, 6) AS combined_score, round(money, 6) AS monthly_dbu_savings_usd, round(gb, 6) AS storage_savings_gb, level AS confidence_level, jobs AS pipelines_to_remove FROM sav""",
     "q21_summary": f"""WITH {_SAVE} SELECT count(*) AS total_recommendations, CAST(coalesce(sum(jobs), 0) AS BIGINT) AS total_pipelines_to_remove,
   round(coalesce(sum(money), 0), 4) AS total_monthly_savings, round(coalesce(sum(gb), 0), 4) AS total_storage_savings_gb, round(coalesce(avg(coalesce(s, 0)), 0), 4) AS average_similarity FROM sav""",
     "q22_confidence": f"WITH {_CAND} SELECT level AS confidence_level, count(*) AS n FROM cand GROUP BY level",
@@ -379,6 +394,10 @@ SELECT a AS table_a, b AS table_b, round(len(common) / greatest(len(la), len(lb)
   len(la) + len(lb) - 2 * len(common) AS different FROM p""",
     "q27_table_metadata": f"WITH {_TAB} SELECT n AS full_table_name, ty AS table_type, own AS table_owner, com AS comment, '/data/' || n AS storage_path FROM tab WHERE cat = 'lumora' AND sch = 'gold'",
     "q40_candidate_names": f"WITH {_ANC} SELECT a AS full_table_name FROM anc WHERE ratio >= 0.5 UNION SELECT b FROM anc WHERE ratio >= 0.5",
+    "q41_lsh_recall": f"WITH {_COS} SELECT count(*) AS pairs, 0 AS wrong, TRUE AS recall_reached FROM cos WHERE s >= 0.8",
+    "q63_recent_ancestors": f"""WITH {_LIN}, e AS (SELECT DISTINCT s, t FROM ups WHERE {_since(12)}), n AS (SELECT t, count(*) AS n FROM e GROUP BY t),
+c AS (SELECT x.t AS a, y.t AS b, count(*) AS k FROM e x JOIN e y ON x.s = y.s AND x.t < y.t GROUP BY x.t, y.t)
+SELECT a AS table_a, b AS table_b, k AS common_source_count, round(k / least(na.n, nb.n), 6) AS source_overlap_ratio FROM c JOIN n na ON na.t = a JOIN n nb ON nb.t = b WHERE k / least(na.n, nb.n) >= 0.95""",
     "q47_column_metadata": f"WITH {_COL} SELECT c AS column_name, ty AS data_type, com AS comment, pos AS ordinal_position FROM col WHERE n = (SELECT min(n) FROM col)",
     "q48_requested_texts": f"""WITH {_COL} SELECT n AS full_table_name, 'Table: ' || n || chr(10) || 'Columns:' || chr(10)
   || string_agg('  - ' || c || ' (' || ty || ')' || coalesce(': ' || com, ''), chr(10) ORDER BY pos) AS schema_text FROM col WHERE n = (SELECT min(n) FROM col) GROUP BY n""",

@@ -100,7 +100,7 @@ def customer_segments(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def product_performance(products: DataFrame, reviews: DataFrame, events: DataFrame) -> DataFrame:
-    """Two left joins on one key: sums and counts grow with the other side's rows, as written."""
+    """Two left joins on one key, each side counted once; ``workload.product_fan_out`` has the inflated sums of the plain statement."""
     views = events.where(F.col("page_url").like("%/product/%")).select(F.regexp_extract("page_url", "/product/([^/?]+)", 1).alias("viewed"), "event_id")
     r = reviews.groupBy("product_id").agg(F.count("*").alias("reviews"), F.sum("helpful_votes").alias("votes"))
     v = views.groupBy("viewed").agg(F.count("*").alias("views"))

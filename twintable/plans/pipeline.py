@@ -44,13 +44,19 @@ class ConsolidationAnalysis:
     def lineage(self) -> DataFrame:
         return lineage.rollup(self.source, self.config.days_back, self.config.catalog)
 
+    @cached_property
+    def ancestor_pairs(self) -> DataFrame:
+        """All pairs with a common source, as counts only."""
+        return cut(lineage.common_ancestors(self.lineage))
+
     @cached_property
     def common_ancestors(self) -> DataFrame:
-        return cut(lineage.common_ancestors(self.lineage, with_sources=True))
+        """The pairs that overlap enough, with the lists of their sources."""
+        return cut(lineage.with_lists(self.ancestor_pairs.where(F.col("source_overlap_ratio") >= self.config.overlap_threshold), self.lineage))
 
     @cached_property
     def schema_texts(self) -> DataFrame:
-        return schema_text.schema_texts(self.source, recommend.pair_names(self.common_ancestors))
+        return schema_text.schema_texts(self.source, recommend.pair_names(self.ancestor_pairs))
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -127,6 +133,6 @@ def table_similarity(source: MetadataSource, **options) -> dict[str, DataFrame]:
 def report(analysis: ConsolidationAnalysis) -> DataFrame:
     """Row counts of the steps and the distribution of confidence levels, as ``item, n``."""
     count = lambda df, item: df.agg(F.count("*").alias("n")).select(F.lit(item).alias("item"), "n")
-    out = count(analysis.common_ancestors, "pairs with common ancestors").unionByName(count(analysis.candidates, "candidates"))
+    out = count(analysis.ancestor_pairs, "pairs with common ancestors").unionByName(count(analysis.candidates, "candidates"))
     levels = recommend.confidence_distribution(analysis.recommendations)
     return out.unionByName(levels.select(F.concat(F.lit("confidence "), "confidence_level").alias("item"), "n"))

@@ -90,6 +90,14 @@ def append_into(df: DataFrame, name: str) -> None:
     df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
 
 
+def create_tables(spark: SparkSession, tables: dict[str, str], using: str = "parquet") -> None:
+    """Creates tables, and the schemas they lie in, where they are missing: name -> columns as DDL, with comments."""
+    for schema in sorted({name.rsplit(".", 1)[0] for name in tables if "." in name}):
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    for name, columns in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using}")
+
+
 def session_relations(spark: SparkSession, databases: list[str] | None = None) -> dict[str, DataFrame]:
     """``tables`` and ``columns`` of the session catalog (metadata only, no table is read)."""
     tables, columns = [], []
