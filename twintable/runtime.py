@@ -7,12 +7,14 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
 
 import twintable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Functions of this package travel to the executors by value, so these need no copy of it.
 cloudpickle.register_pickle_by_value(twintable)
@@ -86,10 +88,16 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def cut_all(*dfs: DataFrame) -> list[DataFrame]:
-    """``cut`` of several tables that don't build on each other, at the same time."""
-    folder = getattr(_scopes, "path", None) or checkpoint_dir(dfs[0].sparkSession)
-    with ThreadPoolExecutor(len(dfs)) as pool:
-        return list(pool.map(lambda df: _write(df, folder), dfs))
+    """``cut`` of several tables that don't build on each other, in one job: each is a partition of one table."""
+    spark = dfs[0].sparkSession
+    path = f"{getattr(_scopes, 'path', None) or checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    rows = [
+        df.select(F.lit(i).alias("part"), *[(F.struct(*df.columns) if i == k else F.lit(None).cast(x.schema)).alias(f"t{k}") for k, x in enumerate(dfs)])
+        for i, df in enumerate(dfs)
+    ]
+    reduce(DataFrame.unionByName, rows).write.partitionBy("part").parquet(path)
+    whole = spark.read.schema(T.StructType([*[T.StructField(f"t{k}", df.schema) for k, df in enumerate(dfs)], T.StructField("part", T.IntegerType())])).parquet(path)
+    return [whole.where(f"part = {k}").select(f"t{k}.*") for k in range(len(dfs))]
 
 
 class Growing:
