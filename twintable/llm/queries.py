@@ -12,7 +12,7 @@ from twintable.llm.packing import bound_of, certified, pack, pieces_of
 from twintable.llm.prose import odd_share, odd_texts
 from twintable.llm.setjoin import similar_sets
 from twintable.llm.survivorship import best_values, judged_values, recency_claims, surviving_records
-from twintable.llm.tokens import encode_corpus, load
+from twintable.llm.tokens import encode_corpus, load, token_counts
 from twintable.plans.problem_queries import clean_sql
 from twintable.runtime import cut, table
 
@@ -100,8 +100,8 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Each review, in tokens, in a container of 2,048; longer ones in pieces."""
-    sizes = p7_ids(spark, folder).select("doc_id", F.size("ids").alias("n"))
-    return pack(sizes, "doc_id", "n", 2048).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container")
+    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text", load())
+    return pack(sizes, "id", "n", 2048).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container")
 
 
 def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, takewhile
 from math import ceil
 
 import numpy as np
@@ -21,7 +21,9 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pre-tokenizer of byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of the rolling hash's window; a cut after 1 in CUT_EVERY windows; characters of a chunk at least.
-ROLL, CUT_EVERY, LEAST = 16, 64, 32
+ROLL, CUT_EVERY, LEAST = 16, 192, 64
+#: The last place where a letter is followed by something else, or a digit.
+EDGE = regex.compile(r"(?r)(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})", regex.S)
 
 
 class BytePairs:
@@ -86,135 +88,127 @@ def chunk_ends(texts: list[str]) -> list[list[int]]:
     return out
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts = b.text.tolist()
-        rows, ids, pos, chunks = [], [], [], []
-        for row, key, text, ends in zip(b["row"], b["id"], texts, chunk_ends(texts)):
-            start = 0
-            for k, end in enumerate(ends):
-                rows.append(row)
-                ids.append(key)
-                pos.append(k)
-                chunks.append(text[start:end])
-                start = end
-        yield pd.DataFrame({"row": rows, "id": ids, "pos": pos, "chunk": chunks}).astype({"chunk": "object"})
+def segments(text: str, ends: list[int], pattern: regex.Pattern) -> list[tuple[int, int, int, int]]:
+    """What of a text comes from its chunks, ``ends`` being theirs: (chunk, a, b, c), in order and without gaps.
 
+    The chunk's own pieces hold for [a, b); the joint [b, c) is split again as a part of the whole text.
 
-def _encode(bpe: BytePairs):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, pattern = bpe.ready()
-        for b in batches:
-            ids, tail, tail_n = [], [], []
-            for text in b.chunk:
-                parts = pattern.findall(text)
-                coded = [piece(p) for p in parts]
-                ids.append(np.fromiter(chain.from_iterable(coded), np.int32))
-                tail.append(len(parts[-1]))
-                tail_n.append(len(coded[-1]))
-            yield pd.DataFrame({"chunk_key": b.chunk_key, "copies": b.copies, "ids": ids, "tail": tail, "tail_n": tail_n})
+    A piece depends on nothing before its start, so two splits that have one end in common agree from there on,
+    as far as neither ends. Where a letter is followed by none, or a digit by none, a piece ends whatever
+    surrounds them: b is the last such place of a chunk. From b on the whole text is split until one of its
+    pieces ends where one of the next chunk's own does (a later chunk's, if that one has no such place).
+    """
+    starts = [0, *ends[:-1]]
+    last = len(ends) - 1
+    out = []
+    k = a = 0
+    while k < last:
+        place = EDGE.search(text, a + 1, ends[k])
+        b = place.start() if place else a
+        j = k + 1
+        own, own_end = pattern.finditer(text, starts[j], ends[j]), starts[j]
+        for m in pattern.finditer(text, b):
+            end = m.end()
+            while own_end < end:
+                if own_end == ends[j]:
+                    j += 1
+                    own = pattern.finditer(text, starts[j], ends[j])
+                own_end = next(own).end()
+            if own_end == end and (end < ends[j] or j == last):
+                break
+        out.append((k, a, b, end))
+        k, a = j, end
+        if end == ends[last]:
+            return out
+    return [*out, (last, a, ends[last], ends[last])]
 
-    return run
 
+def _split(bpe: BytePairs):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per segment: its chunk, how many of the chunk's ids to skip and to drop, and the joint's ids."""
+        piece, pattern = bpe.ready()
 
-def _mend(chunks: list[str], coded: list, tails: list[int], tail_ns: list[int], piece, pattern) -> list[int]:
-    """Ids of the whole text from those of its chunks.
+        def coded(text: str, start: int, end: int) -> list[int]:
+            return [i for m in pattern.finditer(text, start, end) for i in piece(m[0])]
 
-    Pieces of a chunk that end before its end are the same in the whole text, as a piece depends on nothing
-    before its start; but an apostrophe before a last piece l, v or r may become part of 'll, 've or 're. At each
-    join the open last piece (with such an apostrophe) of the text so far is encoded again, together with the new
-    chunk, until a piece ends where one of the chunk's own pieces ends; from there the chunk's ids hold.
-    """
+        for b in batches:
+            out = []
+            for row, key, text, ends in zip(b["row"], b["id"], b.text, chunk_ends(b.text.tolist())):
+                for pos, (k, start, stop, end) in enumerate(segments(text, ends, pattern)):
+                    first = ends[k - 1] if k else 0
+                    # The pieces of a joint end at its end, so it can be split without what follows it, but for blanks.
+                    joint = [i for m in takewhile(lambda m: m.start() < end, pattern.finditer(text, stop)) for i in piece(m[0])] if end > stop else []
+                    if start == stop:
+                        out.append((row, key, pos, None, 0, 0, joint))
+                    else:
+                        out.append((row, key, pos, text[first : ends[k]], len(coded(text, first, start)), len(coded(text, stop, ends[k])), joint))
+            yield pd.DataFrame(out, columns=["row", "id", "pos", "chunk", "skip", "drop", "joint"])
 
-    def reopened(text: str, last: str, n: int) -> tuple[str, int]:
-        """What stays open of a text that begins with a piece: ``last``, of ``n`` ids, or the apostrophe before it too."""
-        if last in ("l", "v", "r") and text.endswith("'" + last) and pattern.findall(text)[-2] == "'":
-            return "'" + last, n + len(piece("'"))
-        return last, n
-
-    out = list(coded[0])
-    open_text, open_n = reopened(chunks[0], chunks[0][len(chunks[0]) - tails[0] :], tail_ns[0])
-    for text, ids, tail, tail_n in zip(chunks[1:], coded[1:], tails[1:], tail_ns[1:]):
-        joined = open_text + text
-        shift = len(open_text)
-        own = pattern.finditer(text)
-        own_end, own_n = shift, 0
-        fresh: list[int] = []
-        last = ()
-        for m in pattern.finditer(joined):
-            last = piece(m[0])
-            fresh.extend(last)
-            while own_end < m.end():
-                mine = next(own)
-                own_end = shift + mine.end()
-                own_n += len(piece(mine[0]))
-            if own_end == m.end():
-                agreed, start = m.end(), m.start()
-                break
-        del out[len(out) - open_n :]
-        out.extend(fresh)
-        out.extend(ids[own_n:])
-        if agreed == len(joined):
-            open_text, open_n = reopened(joined, joined[start:], len(last))
-        else:
-            open_text, open_n = reopened(joined, text[len(text) - tail :], tail_n)
-    return out
+    return run
 
 
-def _assemble(bpe: BytePairs):
+def _encode(bpe: BytePairs):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by text and position; a text may go on in the next batch."""
         piece, pattern = bpe.ready()
-        row, key, held = None, None, []
-
-        def whole() -> np.ndarray:
-            if len(held) == 1:
-                return held[0][1]
-            chunks, coded, tails, tail_ns = zip(*held)
-            return np.array(_mend(chunks, coded, tails, tail_ns, piece, pattern), np.int32)
-
         for b in batches:
-            keys, ids = [], []
-            for r, k, *part in zip(*(b[c] for c in ("row", "id", "chunk", "ids", "tail", "tail_n"))):
-                if r != row:
-                    if held:
-                        keys.append(key)
-                        ids.append(whole())
-                    row, key, held = r, k, []
-                held.append(part)
-            yield pd.DataFrame({"id": keys, "ids": ids}, dtype=object)
-        if held:
-            yield pd.DataFrame({"id": [key], "ids": [whole()]}, dtype=object)
+            ids = [np.fromiter(chain.from_iterable(map(piece, pattern.findall(text))), np.int32) for text in b.chunk]
+            yield pd.DataFrame({"chunk_key": b.chunk_key, "copies": b.copies, "ids": ids})
 
     return run
 
 
+def _texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``row, id, text`` of the texts that have any, and the ``id`` of the others."""
+    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return base.where("text <> ''").withColumn("row", F.monotonically_increasing_id()), base.where("text is null or text = ''").select("id")
+
+
+def _coded_segments(texts: DataFrame, bpe: BytePairs, counts: bool) -> DataFrame:
+    """``row, id, pos, part``: the ids of every segment in order, or (``counts``) how many they are."""
+    spark, col = texts.sparkSession, F.col
+    kind = texts.schema["id"].dataType.simpleString()
+    parts = texts.mapInPandas(_split(bpe), f"row bigint, id {kind}, pos int, chunk string, skip int, drop int, joint array<int>")
+    parts = cut(parts.withColumn("chunk_key", F.unhex(F.md5("chunk"))))
+    once = parts.where("chunk is not null").groupBy("chunk_key").agg(F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
+    coded = cut(once.mapInPandas(_encode(bpe), "chunk_key binary, copies bigint, ids array<int>"))
+    total = coded.agg(F.sum("copies")).first()[0] or 0
+    tasks = parallelism(spark)
+    limit = max(1000, ceil(total / (4 * tasks)))
+    hot = F.broadcast(coded.where(col("copies") > limit).select("chunk_key", F.ceil(4 * col("copies") / limit).cast("int").alias("salts")))
+    left = parts.drop("chunk").join(hot, "chunk_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), col("salts")), F.lit(0)).cast("int")).drop("salts")
+    what = F.size("ids").alias("ids") if counts else col("ids")
+    right = coded.select("chunk_key", what).join(hot, "chunk_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = left.join(right, ["chunk_key", "salt"], "left")
+    if counts:
+        part = F.coalesce(col("ids") - col("skip") - col("drop"), F.lit(0)) + F.size("joint")
+    else:
+        own = F.coalesce(F.slice("ids", col("skip") + 1, F.size("ids") - col("skip") - col("drop")), F.array().cast("array<int>"))
+        part = F.concat(own, "joint")
+    return both.select("row", "id", "pos", part.alias("part"))
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, bpe: BytePairs) -> DataFrame:
     """``id, ids``: the token ids of every text, exactly those of encoding it as a whole, without special tokens.
 
     Texts are cut into content-defined chunks, which copies and near copies share. Each distinct chunk is
-    encoded once; the ids come back to the texts by a join on the chunk's 128-bit digest and the joins between
-    chunks are mended. Frequent chunks (more than 1 / (4 x tasks) of all, so no more than 4 x tasks of them) get
-    salted on both sides, so that no task of the join gets all rows of one chunk.
+    encoded once. What a cut changes is repaired where the text is still at hand: the joint between two chunks
+    is encoded again, until the text's pieces agree with the chunk's own. So no text is shuffled but that of
+    the distinct chunks: their ids come back to the texts by a join on the chunk's 128-bit digest. Frequent
+    chunks (more than 1 / (4 x tasks) of all, so no more than 4 x tasks of them) get salted on both sides, so
+    that no task of the join gets all rows of one chunk.
 
     Defined cases: the null and the empty text give the empty list; text is taken as it is, whole, of any
     length, and strings that look like special tokens are ordinary text; a repeated key or row gives a row each.
     """
-    spark, col = docs.sparkSession, F.col
-    base = docs.select(col(key).alias("id"), col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    texts = base.where("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id())
-    chunks = texts.mapInPandas(_split, f"row bigint, id {kind}, pos int, chunk string")
-    chunks = cut(chunks.withColumn("chunk_key", F.unhex(F.md5("chunk"))))
-    once = chunks.groupBy("chunk_key").agg(F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
-    coded = cut(once.mapInPandas(_encode(bpe), "chunk_key binary, copies bigint, ids array<int>, tail int, tail_n int"))
-    total = coded.agg(F.sum("copies")).first()[0] or 0
-    tasks = parallelism(spark)
-    limit = max(1000, ceil(total / (4 * tasks)))
-    hot = F.broadcast(coded.where(col("copies") > limit).select("chunk_key", F.ceil(4 * col("copies") / limit).cast("int").alias("salts")))
-    left = chunks.join(hot, "chunk_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), col("salts")), F.lit(0)).cast("int")).drop("salts")
-    right = coded.join(hot, "chunk_key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "copies")
-    parts = left.join(right, ["chunk_key", "salt"]).select("row", "id", "pos", "chunk", "ids", "tail", "tail_n")
-    whole = parts.repartition("row").sortWithinPartitions("row", "pos").mapInPandas(_assemble(bpe), f"id {kind}, ids array<int>")
-    empty = base.where("text is null or text = ''").select("id", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(empty)
+    texts, others = _texts(docs, key, text)
+    parts = _coded_segments(texts, bpe, False)
+    listed = F.array_sort(F.collect_list(F.struct("pos", "part")))
+    whole = parts.groupBy("row").agg(F.first("id").alias("id"), listed.alias("l")).select("id", F.flatten(F.transform("l", lambda x: x["part"])).alias("ids"))
+    return whole.unionByName(others.select("id", F.array().cast("array<int>").alias("ids")))
+
+
+def token_counts(docs: DataFrame, key: str, text: str, bpe: BytePairs) -> DataFrame:
+    """``id, n``: how many ids ``encode_corpus`` gives each text, without bringing the ids to the texts."""
+    texts, others = _texts(docs, key, text)
+    counted = _coded_segments(texts, bpe, True).groupBy("row").agg(F.first("id").alias("id"), F.sum("part").cast("int").alias("n"))
+    return counted.select("id", "n").unionByName(others.select("id", F.lit(0).alias("n")))
