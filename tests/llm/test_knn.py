@@ -1,6 +1,6 @@
 import numpy as np
 
-from twintable.llm.knn import nearest
+from twintable.llm.knn import AnisotropicIndex, nearest
 
 
 def brute(names, x, k, least):
@@ -53,6 +53,30 @@ def test_recall_of_near_copies_in_many_cells(spark):
     assert len(want & got) / len(want) >= 0.9
 
 
+def test_divided_cells_and_exact_search(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 64))
+    x = (centres[rng.integers(0, 100, 1200)] + 0.35 * rng.standard_normal((1200, 64))).astype(np.float32)
+    names = [f"t{i:04}" for i in range(1200)]
+    want = brute(names, x.astype(float), 5, 0.8)
+    rows = [(n, v.tolist()) for n, v in zip(names, x)]
+    got = run(spark, rows, cell_rows=10, most_cells=20)
+    assert len(want & got) / len(want) >= 0.95
+    assert run(spark, rows, cell_rows=10, most_cells=20, probes=None) == want
+
+
+def test_margin_leaves_most_queries_few_cells():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 64))[rng.integers(0, 300, 6000)] + 0.3 * rng.standard_normal((6000, 64))
+    x[:2000] = rng.standard_normal(64) + 0.15 * rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    index = AnisotropicIndex(x[:3000], 200)
+    near = index.scores(x)
+    asked = (near >= near.max(1, keepdims=True) - index.margin(x[:3000], 5, 0.8)).sum(1)
+    assert np.median(asked) <= 10 and asked.mean() <= 50
+
+
 def test_unusable_vectors_ties_and_copies(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(f"same{i}", [2 * x for x in v] if i % 2 else v) for i in range(9)]

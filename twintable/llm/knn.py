@@ -14,10 +14,10 @@ from twintable.runtime import cut, parallelism
 
 #: Vectors that the index is fitted on at most: those with the smallest hashes of their names. All are indexed.
 FIT_ROWS = 20_000
-#: Vectors a cell holds on average, and the most cells there are.
+#: Vectors a cell holds on average; from so many cells on they are divided further, all by the same centres of residuals.
 CELL_ROWS, MOST_CELLS = 2_000, 4_096
-#: Of many cells, one in so many is searched at least: near-copies fill whole cells beside one another.
-PROBED = 5
+#: Cells are searched whose score is behind the best by no more than those of all but this share of true neighbours in the sample.
+MISSED, MARGIN_QUERIES = 0.005, 1_000
 #: Rows of a block, on either side.
 BLOCK_ROWS = 4_000
 
@@ -29,7 +29,7 @@ class AnisotropicIndex:
     products that matter, weighs ``eta`` times as much as the part across, eta = (d - 1) T^2 / (1 - T^2).
     """
 
-    def __init__(self, sample: np.ndarray, cells: int, subspaces: int = 16, threshold: float = 0.2, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cells: int, fine: int = 1, subspaces: int = 16, threshold: float = 0.2, seed: int = 7):
         rng = np.random.default_rng(seed)
         n, d = sample.shape
         while d % subspaces:
@@ -45,14 +45,45 @@ class AnisotropicIndex:
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             empty = norm[:, 0] < 1e-9
             c = np.where(empty[:, None], sample[rng.integers(0, n, cells)], sums / np.maximum(norm, 1e-9))
-        self.centres = c.astype(np.float32)
-        residual = sample - self.centres[(sample @ self.centres.T).argmax(1)]
+        self.coarse, self.fine = c.astype(np.float32), np.zeros((1, d), np.float32)
+        if fine > 1:
+            rest = sample - self.coarse[(sample @ self.coarse.T).argmax(1)]
+            f = rest[rng.choice(n, min(fine, n), replace=False)].copy()
+            for _ in range(12):
+                near = ((f**2).sum(1)[None] - 2 * rest @ f.T).argmin(1)
+                sums, many = np.zeros_like(f), np.bincount(near, minlength=len(f))[:, None]
+                np.add.at(sums, near, rest)
+                f = np.where(many > 0, sums / np.maximum(many, 1), f)
+            self.fine = f.astype(np.float32)
+        residual = sample - self.centre(self.cell_of(sample))
         parts = residual.reshape(n, self.s, self.w)
         self.words = np.stack([parts[rng.choice(n, 16, replace=n < 16), s] for s in range(self.s)]).astype(np.float64)
         for _ in range(6):
             codes = self._assign(sample, residual)
             self._update(sample, residual, codes)
 
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        cell = (x @ self.coarse.T).argmax(1)
+        rest = x - self.coarse[cell]
+        return cell * len(self.fine) + ((self.fine**2).sum(1)[None] - 2 * rest @ self.fine.T).argmin(1)
+
+    def centre(self, cell: np.ndarray | int) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of queries with the centres of all cells."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None]).reshape(len(q), -1)
+
+    def margin(self, sample: np.ndarray, k: int, least: float) -> float:
+        """How far the score of a true neighbour's cell is behind the best cell's, but for MISSED of them (in the sample)."""
+        q = sample[:MARGIN_QUERIES]
+        s = q @ sample.T
+        s[np.arange(len(q)), np.arange(len(q))] = -2
+        top = np.argpartition(-s, min(k, len(sample)) - 1, axis=1)[:, :k]
+        score = self.scores(q)
+        behind = (score.max(1)[:, None] - np.take_along_axis(score, self.cell_of(sample)[top], 1))[np.take_along_axis(s, top, 1) >= least]
+        return float(np.quantile(behind, 1 - MISSED)) if len(behind) else 0.0
+
     def _assign(self, x: np.ndarray, residual: np.ndarray) -> np.ndarray:
         """Codes by coordinate descent on |e|^2 + (eta - 1) <e, x>^2 over the subspaces."""
         n = len(x)
@@ -92,8 +123,8 @@ class AnisotropicIndex:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and codes, two 4-bit codes to a byte."""
-        cell = (x @ self.centres.T).argmax(1)
-        codes = self._assign(x, x - self.centres[cell])
+        cell = self.cell_of(x)
+        codes = self._assign(x, x - self.centre(cell))
         if self.s % 2:
             codes = np.concatenate([codes, np.zeros((len(x), 1), codes.dtype)], axis=1)
         return cell, (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8)
@@ -102,7 +133,7 @@ class AnisotropicIndex:
         """Of unit vectors of one cell: the part of the codes' error along the vector, and the length of the part across."""
         codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(x), -1)[:, : self.s]
         x = x.astype(np.float64)
-        error = x - self.centres[cell] - self.words[np.arange(self.s)[None], codes].reshape(len(x), -1)
+        error = x - self.centre(cell) - self.words[np.arange(self.s)[None], codes].reshape(len(x), -1)
         along = np.einsum("nd,nd->n", error, x)
         return along, np.sqrt(np.maximum((error**2).sum(1) - along**2, 0.0))
 
@@ -138,7 +169,7 @@ def _directions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def nearest(
     df: DataFrame, name: str, vector: str, dims: int = 64, k: int = 5, least: float = 0.8,
-    probes: int = 10, rerank: int = 32, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS,
+    probes: int | None = 10, rerank: int = 32, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS,
 ) -> DataFrame:
     """``name, neighbour, cosine``: the ``k`` most similar other names of every name, as far as cosine >= ``least``.
 
@@ -147,7 +178,10 @@ def nearest(
 
     The index is fitted on a bounded sample of ``fit_rows`` vectors; every vector is indexed and every vector
     is a query. A class is stored in the block of its cell and searched for in the blocks of the ``probes``
-    nearest cells, of one in PROBED cells at least: 4-bit tables score the whole block, the best ``rerank`` are scored exactly, and so is every
+    nearest cells, and of all others that are behind the nearest by no more than a margin measured on the sample:
+    few for most vectors, many for near-copies, which fill whole cells beside one another. ``probes=None``
+    searches all cells, which is exact. The number of cells grows with that of vectors: beyond ``most_cells``
+    each is divided by a second set of centres, of residuals, that all share. In a block 4-bit tables score the whole of it, the best ``rerank`` are scored exactly, and so is every
     other row that may be as good as the k + 1 best of these: a cosine of t or more gives an approximate score of
     at least t (1 - a) - sqrt(1 - t^2) b, a and b being the row's error along and across. So nothing in a block is
     lost to the codes. Cells with more than BLOCK_ROWS rows on either side are cut by salt, so no task grows
@@ -166,26 +200,31 @@ def nearest(
     if not n:
         return df.select(col(name).alias("name"), col(name).alias("neighbour"), F.lit(0.0).alias("cosine")).limit(0)
     sample = classes.select("u", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).select("u").toPandas()
-    index = AnisotropicIndex(_stack(sample.u).astype(np.float64), max(1, min(MOST_CELLS, n // cell_rows)))
-    probes = max(probes, ceil(len(index.centres) / PROBED))
+    fit = _stack(sample.u).astype(np.float64)
+    cells = max(1, n // cell_rows)
+    index = AnisotropicIndex(fit, min(most_cells, cells), ceil(cells / most_cells))
+    margin = np.inf if probes is None else index.margin(fit, k, least)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index
         for b in batches:
             x = _stack(b.u)
-            near = x @ ix.centres.T
-            p = min(probes, near.shape[1])
-            cells = np.argpartition(-near, p - 1, axis=1)[:, :p]
+            near = ix.scores(x)
+            p = min(probes or 1, near.shape[1])
+            limit = np.minimum(-np.partition(-near, p - 1, axis=1)[:, p - 1], near.max(1) - margin)
             cell, codes = ix.encode(x)
-            yield pd.DataFrame({"id": b.id, "u": b.u, "cell": cell.astype("int32"), "code": [c.tobytes() for c in codes], "asks": list(cells.astype("int32"))})
+            asks = [np.nonzero(row)[0].astype("int32") for row in near >= limit[:, None]]
+            yield pd.DataFrame({"id": b.id, "u": b.u, "cell": cell.astype("int32"), "code": [c.tobytes() for c in codes], "asks": asks})
 
     placed = cut(classes.mapInPandas(place, "id bigint, u binary, cell int, code binary, asks array<int>"))
     held = placed.groupBy("cell").agg(F.count("*").alias("n"))
     asked = placed.select(F.explode("asks").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
     salts = held.join(asked, "cell").select(
-        "cell", F.ceil(col("n") / BLOCK_ROWS).cast("int").alias("si"), F.ceil(col("m") / BLOCK_ROWS).cast("int").alias("sp")
+        "cell", "m", F.ceil(col("n") / BLOCK_ROWS).cast("int").alias("si"), F.ceil(col("m") / BLOCK_ROWS).cast("int").alias("sp")
     )
-    salts = F.broadcast(cut(salts))  # a row per cell, MOST_CELLS at most
+    salts = cut(salts)
+    total = salts.agg(F.sum("m")).first()[0] or 0
+    salts = salts.drop("m")
     spread = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), m).cast("int")
     stored = placed.join(salts, "cell").select(
         "id", "u", "code", "cell", spread(col("si"), 1).alias("i"), F.explode(F.sequence(F.lit(0), col("sp") - 1)).alias("p")
@@ -224,7 +263,7 @@ def nearest(
                 slack = np.sqrt(np.maximum(1 - bar**2, 0.0)).astype(np.float32)
                 bound = bar.astype(np.float32)[:, None] * (1 - along) - slack[:, None] * across - 1e-5
                 bound[bar < 0] = -np.inf  # below 0 the bound doesn't hold
-                able = score + (q @ ix.centres[cell])[:, None] >= bound
+                able = score + (q @ ix.centre(cell))[:, None] >= bound
                 np.put_along_axis(able, top, False, 1)
                 more = np.nonzero(able.any(1))[0]
                 if len(more):
@@ -238,7 +277,7 @@ def nearest(
                 out.append(pd.DataFrame({"id": who[rows], "other": ids[np.take_along_axis(top, best, 1)[rows, cols]], "cosine": value[rows, cols]}))
         return pd.concat(out) if out else pd.DataFrame({"id": np.array([], "int64"), "other": np.array([], "int64"), "cosine": np.array([], "float64")})
 
-    parts = max(parallelism(spark), ceil(n * probes / 20_000))
+    parts = max(parallelism(spark), ceil(total / 20_000))
     found = stored.unionByName(asks).repartition(parts, "cell", "i", "p").groupBy("cell", "i", "p").applyInPandas(search, "id bigint, other bigint, cosine double")
     own = classes.select("id", col("id").alias("other"), F.lit(1.0).alias("cosine"))
     near = found.withColumn("cosine", F.round("cosine", 9)).where(col("cosine") >= least - 1e-9)
