@@ -92,13 +92,21 @@ def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, p
     ``(entity, value, probability)`` and ``(source, sensitivity, specificity)``. Rows with a null in any of the
     three columns are left out, repeated rows count once, no rows give no rows.
 
-    Denials are never listed: an entity's values share the sum of all its speakers' denials, and a value adds
-    what changes for the sources that name it. Every step is linear in the claims, with map-side partials.
+    Entities on which the same sources agree and differ in the same way are alike to the model, so they are counted
+    once, as a pattern: which sets of sources name how many of the entity's values each. Rounds run over patterns
+    and are linear in them, however many entities there are. Denials are never listed: the values of a pattern
+    share the sum of all its speakers' denials, and a value adds what changes for the sources that name it.
     """
     col = F.col
     with scratch(claims.sparkSession):
-        claims = cut(claims.select("entity", "value", "source").na.drop().distinct())
-        speaks = cut(claims.select("entity", "source").distinct())
+        stated = claims.select("entity", "value", "source").na.drop().distinct().groupBy("entity", "value").agg(F.array_sort(F.collect_set("source")).alias("by"))
+        stated = cut(stated)
+        sets = stated.groupBy("entity", "by").agg(F.count("*").alias("k")).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("by", "k"))).alias("pattern"))
+        shapes = cut(sets.withColumn("shape", F.md5(F.to_json("pattern"))))
+        cells = shapes.groupBy("shape").agg(F.first("pattern").alias("pattern"), F.count("*").alias("m")).select("shape", "m", F.inline("pattern"))
+        cells = cells.select("shape", "by", (col("m") * col("k")).alias("n"))
+        names = cut(cells.select("shape", "by", "n", F.explode("by").alias("source")))
+        speaks = cut(names.select("shape", "source").distinct())
         known = speaks.select("source").distinct()
         if priors is not None:
             known = known.join(priors, "source", "left")
@@ -110,15 +118,15 @@ def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, p
         share = log(prior_true / (1 - prior_true))
 
         def judge(q: DataFrame) -> DataFrame:
-            denied = speaks.join(q, "source").groupBy("entity").agg(F.sum(deny).alias("base"))
-            named = claims.join(q, "source").groupBy("entity", "value").agg(F.sum(F.log(col("sens") / col("fpr")) - deny).alias("more"))
-            return named.join(denied, "entity").select("entity", "value", (1 / (1 + F.exp(-(col("base") + col("more") + share)))).alias("p"))
+            denied = speaks.join(q, "source").groupBy("shape").agg(F.sum(deny).alias("base"))
+            named = names.join(q, "source").groupBy("shape", "by").agg(F.first("n").alias("n"), F.sum(F.log(col("sens") / col("fpr")) - deny).alias("more"))
+            return named.join(denied, "shape").select("shape", "by", "n", (1 / (1 + F.exp(-(col("base") + col("more") + share)))).alias("p"))
 
         for _ in range(rounds):
-            p = cut(judge(quality))
-            said = claims.join(p, ["entity", "value"]).groupBy("source").agg(F.sum("p").alias("t1"), F.sum(1 - col("p")).alias("f1"))
-            whole = p.groupBy("entity").agg(F.sum("p").alias("t"), F.sum(1 - col("p")).alias("f"))
-            spoke = speaks.join(whole, "entity").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+            p = judge(quality)
+            said = p.select("n", "p", F.explode("by").alias("source")).groupBy("source").agg(F.sum(col("n") * col("p")).alias("t1"), F.sum(col("n") * (1 - col("p"))).alias("f1"))
+            whole = p.groupBy("shape").agg(F.sum(col("n") * col("p")).alias("t"), F.sum(col("n") * (1 - col("p"))).alias("f"))
+            spoke = speaks.join(whole, "shape").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
             new = cut(
                 said.join(spoke, "source").join(believed, "source").join(quality.select("source", col("sens").alias("s"), col("fpr").alias("q")), "source").select(
                     "source",
@@ -130,5 +138,6 @@ def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, p
             quality = new.select("source", "sens", "fpr")
             if moved is None or moved <= tolerance:
                 break
-        truth = cut(judge(quality).withColumnRenamed("p", "probability"), keep=True)
-        return truth, cut(quality.select("source", col("sens").alias("sensitivity"), (1 - col("fpr")).alias("specificity")), keep=True)
+        judged = judge(quality).select("shape", "by", col("p").alias("probability"))
+        truth = stated.join(shapes.select("entity", "shape"), "entity").join(judged, ["shape", "by"]).select("entity", "value", "probability")
+        return cut(truth, keep=True), cut(quality.select("source", col("sens").alias("sensitivity"), (1 - col("fpr")).alias("specificity")), keep=True)
