@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintable.functions.vectors import as_doubles, cosine, cosine_of_distance, normalize
+from twintable.functions.vectors import as_doubles, cosine, cosine_of_distance, l2_norm, normalize
 from twintable.operators import candidates, embedding, lineage, recommend, schema_text, similarity
 from twintable.plans.problem_queries import clean_sql
 from twintable.runtime import cut, table
@@ -247,6 +249,28 @@ def q49_similar_events(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("table_a", "table_b", F.round("cosine_similarity", 6).alias("cosine_similarity"))
 
 
+def q64_model_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of clusters, map and embeddings whatever their numbers are, as ``fact, value``."""
+    one = lambda ok: F.coalesce(F.every(ok), F.lit(True)).cast("bigint")
+    unit = lambda c: F.abs(l2_norm(c) - 1) < 1e-9
+    c = cut(q42_clusters(spark, folder))
+    real = c.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("cluster_size").alias("most"), F.min("cluster_size").alias("fewest"))
+    xy = cut(q43_map(spark, folder))
+    seeded, hashed = cut(q44_seeded_embeddings(spark, folder)), cut(q45_hashed_embeddings(spark, folder))
+    parts = [
+        ("a table is in one cluster at most", c, (F.count("*") == F.count_distinct("full_table_name")).cast("bigint")),
+        ("cluster sizes agree", real, one((F.col("n") == F.col("most")) & (F.col("n") == F.col("fewest")) & (F.col("n") >= 2))),
+        ("points on the map", xy, F.count("*")),
+        ("the map's first axis is the wider", xy, (F.var_pop("vis_x") >= F.var_pop("vis_y")).cast("bigint")),
+        ("seeded vectors", seeded, F.count_distinct("embedding")),
+        ("seeded vectors are unit vectors", seeded, one(unit("embedding") & (F.size("embedding") == 128))),
+        ("hashed vectors are unit vectors", hashed, one(unit("embedding") & (F.size("embedding") == 128))),
+        ("columns embedded", q46_column_embeddings(spark, folder), F.count("embedding")),
+    ]
+    rows = [df.agg(value.alias("value")).select(F.lit(fact).alias("fact"), "value") for fact, df, value in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 _LIN = f"""
@@ -395,6 +419,10 @@ SELECT a AS table_a, b AS table_b, round(len(common) / greatest(len(la), len(lb)
     "q27_table_metadata": f"WITH {_TAB} SELECT n AS full_table_name, ty AS table_type, own AS table_owner, com AS comment, '/data/' || n AS storage_path FROM tab WHERE cat = 'lumora' AND sch = 'gold'",
     "q40_candidate_names": f"WITH {_ANC} SELECT a AS full_table_name FROM anc WHERE ratio >= 0.5 UNION SELECT b FROM anc WHERE ratio >= 0.5",
     "q41_lsh_recall": f"WITH {_COS} SELECT count(*) AS pairs, 0 AS wrong, TRUE AS recall_reached FROM cos WHERE s >= 0.8",
+    "q64_model_facts": f"""WITH {_EMB},{_COL}
+SELECT unnest(['a table is in one cluster at most', 'cluster sizes agree', 'points on the map', 'the map''s first axis is the wider', 'seeded vectors', 'seeded vectors are unit vectors',
+  'hashed vectors are unit vectors', 'columns embedded']) AS fact,
+  unnest([1, 1, (SELECT count(*) FROM emb), 1, (SELECT count(DISTINCT x) FROM txt), 1, 1, (SELECT count(*) FROM col)]) AS value""",
     "q63_recent_ancestors": f"""WITH {_LIN}, e AS (SELECT DISTINCT s, t FROM ups WHERE {_since(12)}), n AS (SELECT t, count(*) AS n FROM e GROUP BY t),
 c AS (SELECT x.t AS a, y.t AS b, count(*) AS k FROM e x JOIN e y ON x.s = y.s AND x.t < y.t GROUP BY x.t, y.t)
 SELECT a AS table_a, b AS table_b, k AS common_source_count, round(k / least(na.n, nb.n), 6) AS source_overlap_ratio FROM c JOIN n na ON na.t = a JOIN n nb ON nb.t = b WHERE k / least(na.n, nb.n) >= 0.95""",
