@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twintable.runtime import cut, parallelism
+from twintable.runtime import cut, parallelism, scratch
 
 #: Links that one cell of the grid holds on average.
 CELL_LINKS = 100_000
@@ -49,6 +49,11 @@ def connected_groups(pairs: DataFrame, a: str, b: str, cell_links: int = CELL_LI
     vertex sends at most one row per slice of its row and column. Defined cases: a null end, a record paired with
     itself, repeated and reversed pairs add no link; no pairs give no rows; other columns are ignored.
     """
+    with scratch(pairs.sparkSession):
+        return cut(_grouped(pairs, a, b, cell_links), keep=True)
+
+
+def _grouped(pairs: DataFrame, a: str, b: str, cell_links: int) -> DataFrame:
     spark, col = pairs.sparkSession, F.col
     key = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), col(c))
     links = (

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twintable.runtime import cut, parallelism
+from twintable.runtime import cut, parallelism, scratch
 
 #: Vectors that the index is fitted on at most: those with the smallest hashes of their names. All are indexed.
 FIT_ROWS = 20_000
@@ -190,6 +190,11 @@ def nearest(
     Defined cases: null or blank names, null, wrongly long, non-finite and all-zero vectors take no part; of
     several rows of a name the smallest vector counts; an empty table gives no rows.
     """
+    with scratch(df.sparkSession):
+        return cut(_nearest(df, name, vector, dims, k, least, probes, rerank, fit_rows, cell_rows, most_cells), keep=True)
+
+
+def _nearest(df: DataFrame, name: str, vector: str, dims: int, k: int, least: float, probes: int | None, rerank: int, fit_rows: int, cell_rows: int, most_cells: int) -> DataFrame:
     spark, col = df.sparkSession, F.col
     unit = usable_vectors(df, name, vector, dims).mapInPandas(_directions, "name string, key binary, u binary")
     unit = cut(unit.withColumn("id", F.xxhash64("key")))
