@@ -27,9 +27,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twintable.runtime import Growing, cut, cut_all, scratch
+from twintable.runtime import Growing, cut, cut_all, release, scratch
 
 ROOT, BELOW, COUNT, CYCLE, SELF = 0, 1, 2, 3, 4
+#: Nodes of chains for each leaf just raked from which on chains are compressed.
+COMPRESS_SHARE = 0.25
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -127,15 +129,15 @@ def _places(unary: DataFrame, paths: bool) -> DataFrame:
         jumps = cut(_doubled(_doubled(jumps, paths), paths))
 
 
-def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple | None:
-    """Replaces every chain by one link and every ring by one node. Returns like ``_rake``."""
+def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool, worth: float) -> tuple | None:
+    """Replaces every chain by one link and every ring by one node. Returns like ``_rake``; None if no more than ``worth`` nodes would go."""
     col, zero = F.col, F.lit(0)
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     ends = edges.select(col("src").alias("n"), F.lit(1).alias("o"), zero.alias("i"), none.alias("par"), col("dst").alias("chd"), zero.alias("wi"), col("w").alias("wo"), nothing.alias("vi"), col("via").alias("vo"))
     ends = ends.unionByName(edges.select(col("dst").alias("n"), zero.alias("o"), F.lit(1).alias("i"), col("src").alias("par"), none.alias("chd"), col("w").alias("wi"), zero.alias("wo"), col("via").alias("vi"), nothing.alias("vo")))
     single = ends.groupBy("n").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), *[F.max(c).alias(c) for c in ("par", "chd", "wi", "wo", "vi", "vo")]).where("o = 1 and i = 1")
     unary = cut(single.join(nodes, "n").select("n", "weight", "own_cycle", "par", "chd", "wi", "wo", "vi", "vo"))
-    if unary.isEmpty():
+    if unary.count() <= worth:
         return None
     places = _places(unary, paths).join(unary.select("n", "weight", "own_cycle"), "n")
     tops = unary.join(unary.select(col("n").alias("par")), "par", "left_anti").select(col("n").alias("ptr"), col("par").alias("h"), col("wi").alias("w1"), col("vi").alias("v1"), col("weight").alias("tw"))
@@ -175,18 +177,26 @@ def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool)
 
 
 def contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple[list[dict], DataFrame, DataFrame, DataFrame]:
-    """Rakes and compresses in turn until neither moves. Returns the records of all steps and what is left of nodes, links, sets."""
+    """Rakes and compresses in turn until neither moves. Returns the records of all steps and what is left of nodes, links, sets.
+
+    Chains wait while they hold few nodes beside the leaves just raked (COMPRESS_SHARE): a tree with l leaves has
+    less than l branching nodes, so a rake then takes a fixed share of it and the number of steps stays logarithmic.
+    """
     steps: list[dict] = []
-    idle = 0
-    while idle < 2:
-        done = _rake(nodes, edges, sets) if len(steps) % 2 == 0 else _compress(nodes, edges, sets, paths)
-        steps.append(done[0] if done else {})
-        idle = 0 if done else idle + 1
-        if done:
-            _, nodes, edges, sets = done
-            if edges.isEmpty() and nodes.isEmpty():
-                break
-    return [s for s in steps if s], nodes, edges, sets
+    while True:
+        raked = _rake(nodes, edges, sets)
+        leaves = 0
+        if raked:
+            step, nodes, edges, sets = raked
+            steps.append(step)
+            leaves = step["gone"].count()
+        compressed = _compress(nodes, edges, sets, paths, COMPRESS_SHARE * leaves)
+        if compressed:
+            step, nodes, edges, sets = compressed
+            steps.append(step)
+        if not (raked or compressed) or (edges.isEmpty() and nodes.isEmpty()):
+            return steps, nodes, edges, sets
+        release(nodes.sparkSession)
 
 
 def _facts(node, kind: int, key, val, path=None) -> list:
@@ -201,7 +211,7 @@ def _facts(node, kind: int, key, val, path=None) -> list:
 
 def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
     """Facts of all nodes: those given, and of the nodes removed in each round, the last round first."""
-    every = Growing(facts)
+    every, done = Growing(facts), 0
     col, blank = F.col, F.lit("")
     for step in reversed(rounds):
         gone, known = step["gone"], every.read()
@@ -250,6 +260,9 @@ def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
             )
         )
         every.add(rows)
+        done += 1
+        if done % 3 == 0:
+            release(facts.sparkSession)
     return every.read()
 
 

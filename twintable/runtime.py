@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import threading
 import uuid
@@ -115,6 +116,16 @@ class Growing:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished rounds left behind.
+
+    Spark drops shuffle files, broadcasts and generated code when the driver's garbage collector finds their plans
+    unused. An operator that runs many small jobs fills disks and the driver long before that happens by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that a wide step should have at least."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
