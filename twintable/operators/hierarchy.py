@@ -41,13 +41,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _shortest(edges: DataFrame, paths: bool) -> DataFrame:
     """One link per pair of nodes, the shortest; ties by the smaller list of nodes on the way."""
     if not paths:
-        return edges.groupBy("src", "dst").agg(F.min("w").alias("w")).withColumn("via", _no_names())
+        return edges.groupBy("src", "dst").agg(F.min("w").alias("w")).withColumn("via", _no_names(paths))
     best = edges.groupBy("src", "dst").agg(F.min(F.struct("w", "via")).alias("m"))
     return best.select("src", "dst", "m.w", "m.via")
 
 
-def _no_names():
-    return F.array().cast("array<string>")
+def _no_names(paths: bool):
+    """Nodes on a way of none; where no paths are asked for, a constant in their place."""
+    return F.array().cast("array<string>") if paths else F.lit(False)
 
 
 def _gain(nodes: DataFrame, gains: DataFrame) -> DataFrame:
@@ -58,14 +59,14 @@ def _gain(nodes: DataFrame, gains: DataFrame) -> DataFrame:
     )
 
 
-def _rake(nodes: DataFrame, edges: DataFrame, sets: DataFrame) -> tuple | None:
+def _rake(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple | None:
     """Removes the nodes without children. Returns the record of the step and what is left, None if there are none."""
     col = F.col
     parents = edges.groupBy("dst").agg(F.count("*").alias("i"), F.max("src").alias("par")).withColumnRenamed("dst", "n")
     leaves = nodes.join(edges.select(col("src").alias("n")), "n", "left_anti")
     gone = cut(
         leaves.join(parents, "n", "left").select(
-            "n", "weight", "is_root", "own_cycle", F.coalesce("i", F.lit(0)).alias("i"), "par", F.lit(None).cast("string").alias("chd"), _no_names().alias("vi"), F.lit(True).alias("leaf")
+            "n", "weight", "is_root", "own_cycle", F.coalesce("i", F.lit(0)).alias("i"), "par", F.lit(None).cast("string").alias("chd"), _no_names(paths).alias("vi"), F.lit(True).alias("leaf")
         )
     )
     if gone.isEmpty():
@@ -115,7 +116,7 @@ def _places(unary: DataFrame, paths: bool) -> DataFrame:
         start.join(tops, "par", "left").select(
             "n", F.when(top, col("n")).otherwise(col("par")).alias("ptr"), (top | F.coalesce("stop", F.lit(False))).alias("done"),
             F.when(top, 0).otherwise(col("wi")).cast("bigint").alias("d"), F.when(top, 0).otherwise(col("weight")).cast("bigint").alias("pw"),
-            (F.when(top, _no_names()).otherwise(col("vi")) if paths else col("vi")).alias("between"), F.least("n", F.when(top, col("n")).otherwise(col("par"))).alias("low"), F.lit(True).alias("moved"),
+            (F.when(top, _no_names(paths)).otherwise(col("vi")) if paths else col("vi")).alias("between"), F.least("n", F.when(top, col("n")).otherwise(col("par"))).alias("low"), F.lit(True).alias("moved"),
         )
     )
     before = -1
@@ -127,12 +128,13 @@ def _places(unary: DataFrame, paths: bool) -> DataFrame:
             return jumps
         before = open_["n"]
         jumps = cut(_doubled(_doubled(jumps, paths), paths))
+        release(jumps.sparkSession)
 
 
 def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool, worth: float) -> tuple | None:
     """Replaces every chain by one link and every ring by one node. Returns like ``_rake``; None if no more than ``worth`` nodes would go."""
     col, zero = F.col, F.lit(0)
-    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>" if paths else "boolean")
     ends = edges.select(col("src").alias("n"), F.lit(1).alias("o"), zero.alias("i"), none.alias("par"), col("dst").alias("chd"), zero.alias("wi"), col("w").alias("wo"), nothing.alias("vi"), col("via").alias("vo"))
     ends = ends.unionByName(edges.select(col("dst").alias("n"), zero.alias("o"), F.lit(1).alias("i"), col("src").alias("par"), none.alias("chd"), col("w").alias("wi"), zero.alias("wo"), col("via").alias("vi"), nothing.alias("vo")))
     single = ends.groupBy("n").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), *[F.max(c).alias(c) for c in ("par", "chd", "wi", "wo", "vi", "vo")]).where("o = 1 and i = 1")
@@ -151,9 +153,10 @@ def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool,
         (col("w1") + col("d")).cast("int").alias("wi"), (before if paths else col("v1")).alias("vi"), "ptr", F.lit(False).alias("ring"),
     )
     on_ring = places.where("not done and n <> low").select(
-        "n", "weight", "own_cycle", col("low").alias("par"), col("low").alias("chd"), zero.alias("wi"), _no_names().alias("vi"), col("low").alias("ptr"), F.lit(True).alias("ring")
+        "n", "weight", "own_cycle", col("low").alias("par"), col("low").alias("chd"), zero.alias("wi"), _no_names(paths).alias("vi"), col("low").alias("ptr"), F.lit(True).alias("ring")
     )
     members = cut(on_chain.unionByName(on_ring))
+    release(nodes.sparkSession)
     gone = members.select("n", "weight", zero.alias("is_root"), "own_cycle", F.lit(1).alias("i"), "par", "chd", "vi", F.lit(False).alias("leaf"))
     down = members.where("not ring").select(col("par").alias("src"), col("n").alias("dst"), col("wi").alias("w"), col("vi").alias("via"))
     # What is below a node of a chain is below all nodes before it.
@@ -184,12 +187,13 @@ def contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -
     """
     steps: list[dict] = []
     while True:
-        raked = _rake(nodes, edges, sets)
+        raked = _rake(nodes, edges, sets, paths)
         leaves = 0
         if raked:
             step, nodes, edges, sets = raked
             steps.append(step)
             leaves = step["gone"].count()
+            release(nodes.sparkSession)
         compressed = _compress(nodes, edges, sets, paths, COMPRESS_SHARE * leaves)
         if compressed:
             step, nodes, edges, sets = compressed
@@ -199,13 +203,13 @@ def contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -
         release(nodes.sparkSession)
 
 
-def _facts(node, kind: int, key, val, path=None) -> list:
+def _facts(paths: bool, node, kind: int, key, val, path=None) -> list:
     return [
         node.alias("node"),
         F.lit(kind).alias("kind"),
         key.alias("key"),
         val.cast("bigint").alias("val"),
-        (_no_names() if path is None else path).alias("path"),
+        (path if paths and path is not None else _no_names(paths)).alias("path"),
     ]
 
 
@@ -229,10 +233,10 @@ def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
         )
         own = _union(
             [
-                step["sets"].select(*_facts(col("owner"), BELOW, col("elem"), col("size"))),
-                gone.where("is_root = 1").select(*_facts(col("n"), ROOT, col("n"), F.lit(0), F.array("n") if paths else None)),
-                gone.select(*_facts(col("n"), SELF, blank, col("weight"))),
-                gone.where("own_cycle = 1").select(*_facts(col("n"), CYCLE, col("n"), F.lit(-1))),
+                step["sets"].select(*_facts(paths, col("owner"), BELOW, col("elem"), col("size"))),
+                gone.where("is_root = 1").select(*_facts(paths, col("n"), ROOT, col("n"), F.lit(0), F.array("n"))),
+                gone.select(*_facts(paths, col("n"), SELF, blank, col("weight"))),
+                gone.where("own_cycle = 1").select(*_facts(paths, col("n"), CYCLE, col("n"), F.lit(-1))),
             ]
         )
         # A node lies on a cycle if its parent and its child of this round are in one strongly connected part
@@ -241,7 +245,7 @@ def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
         if paths:
             rows = rows.groupBy("node", "kind", "key").agg(F.min(F.struct("val", "path")).alias("m"), F.count("*").alias("k")).select("node", "kind", "key", "m.val", "m.path", "k")
         else:
-            rows = rows.groupBy("node", "kind", "key").agg(F.min("val").alias("val"), F.count("*").alias("k")).withColumn("path", _no_names())
+            rows = rows.groupBy("node", "kind", "key").agg(F.min("val").alias("val"), F.count("*").alias("k")).withColumn("path", _no_names(paths))
         w = Window.partitionBy("node")
         inner = F.max((col("kind") == CYCLE) & (col("k") >= 2) & (col("val") >= 0)).over(w)
         weight = F.max(F.when(col("kind") == SELF, col("val"))).over(w)
@@ -261,7 +265,7 @@ def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
         )
         every.add(rows)
         done += 1
-        if done % 3 == 0:
+        if done % 2 == 0:
             release(facts.sparkSession)
     return every.read()
 
@@ -317,7 +321,7 @@ def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _core_distances(nodes: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
     """Shortest ways from roots inside the core, only changed ones being carried on."""
     col = F.col
-    start = nodes.where("is_root = 1").select(*_facts(col("n"), ROOT, col("n"), F.lit(0), F.array("n") if paths else None))
+    start = nodes.where("is_root = 1").select(*_facts(paths, col("n"), ROOT, col("n"), F.lit(0), F.array("n")))
     known = front = cut(start)
     while not front.isEmpty():
         step = front.withColumnRenamed("node", "src").join(edges, "src").select(
@@ -350,12 +354,12 @@ def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False) ->
 def _hierarchy(links: DataFrame, parent: str, child: str, paths: bool) -> DataFrame:
     col = F.col
     edges = links.select(col(parent).alias("src"), col(child).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
-    edges = cut(edges.select("src", "dst", F.lit(1).alias("w"), _no_names().alias("via")))
+    edges = cut(edges.select("src", "dst", F.lit(1).alias("w"), _no_names(paths).alias("via")))
     ends = edges.select(col("src").alias("n"), F.lit(1).alias("r")).unionByName(edges.select(col("dst").alias("n"), F.lit(0).alias("r")))
     nodes = cut(ends.groupBy("n").agg(F.min("r").alias("is_root")).select("n", F.lit(1).cast("bigint").alias("weight"), "is_root", F.lit(0).alias("own_cycle")))
     sets = nodes.select(col("n").alias("owner"), col("n").alias("elem"), col("weight").alias("size")).limit(0)
     rounds, core, core_edges, core_sets = contract(nodes, edges, sets, paths)
-    none = nodes.select(*_facts(col("n"), ROOT, col("n"), F.lit(0))).limit(0)
+    none = nodes.select(*_facts(paths, col("n"), ROOT, col("n"), F.lit(0))).limit(0)
     if core.isEmpty():
         facts = none
     else:
@@ -365,13 +369,13 @@ def _hierarchy(links: DataFrame, parent: str, child: str, paths: bool) -> DataFr
         merged, merged_edges, merged_sets = cut_all(
             member.groupBy(col("g").alias("n")).agg(F.sum("weight").alias("weight")).select("n", "weight", F.lit(0).alias("is_root"), F.lit(0).alias("own_cycle")),
             core_edges.join(of.select(col("n").alias("src"), col("g").alias("gs")), "src").join(of.select(col("n").alias("dst"), col("g").alias("gd")), "dst")
-            .where("gs <> gd").select(col("gs").alias("src"), col("gd").alias("dst"), F.lit(1).alias("w"), _no_names().alias("via")).distinct(),
+            .where("gs <> gd").select(col("gs").alias("src"), col("gd").alias("dst"), F.lit(1).alias("w"), _no_names(False).alias("via")).distinct(),
             core_sets.join(of.withColumnRenamed("n", "owner"), "owner").select(col("g").alias("owner"), "elem", "size").distinct(),
         )
         inner, *_ = contract(merged, merged_edges, merged_sets, False)
-        below = _undo(inner, none, False).where(f"kind in ({BELOW}, {COUNT})")
-        shared = below.withColumnRenamed("node", "g").join(of, "g").select(col("n").alias("node"), "kind", "key", "val", "path")
-        cycles = member.where("part is not null or own_cycle = 1").select(*_facts(col("n"), CYCLE, col("g"), F.lit(0)))
+        below = _undo(inner, nodes.select(*_facts(False, col("n"), ROOT, col("n"), F.lit(0))).limit(0), False).where(f"kind in ({BELOW}, {COUNT})")
+        shared = below.withColumnRenamed("node", "g").join(of, "g").select(col("n").alias("node"), "kind", "key", "val", _no_names(paths).alias("path"))
+        cycles = member.where("part is not null or own_cycle = 1").select(*_facts(paths, col("n"), CYCLE, col("g"), F.lit(0)))
         facts = _union([shared, cycles, _core_distances(core, core_edges, paths)])
     every = _undo(rounds, facts, paths)
     info = every.where(f"kind <> {ROOT}").groupBy("node").agg(
@@ -383,7 +387,7 @@ def _hierarchy(links: DataFrame, parent: str, child: str, paths: bool) -> DataFr
         "node",
         F.coalesce("root", F.lit("")).alias("root"),
         F.coalesce("depth", F.lit(-1)).cast("bigint").alias("depth"),
-        F.coalesce("path", _no_names()).alias("path"),
+        (F.coalesce("path", _no_names(True)) if paths else _no_names(True)).alias("path"),
         "on_cycle",
         "n_descendants",
     )
