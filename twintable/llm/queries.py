@@ -90,7 +90,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_truth(spark: SparkSession, folder: str) -> DataFrame:
     """Every value stated about a table's field, and whether the model judges it true."""
-    judged = judged_values(cut(usage_claims(spark, folder)), tolerance=1e-4)
+    judged = judged_values(cut(usage_claims(spark, folder)))
     return judged.select(F.col("key").alias("full_table_name"), "field", F.col("value").cast("string").alias("value"), (F.col("probability") >= 0.5).alias("judged_true"))
 
 

@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintable.runtime import cut, scratch
+from twintable.runtime import cut, release, scratch
 
 #: Prior belief in the newest record of a field and in older ones: (sensitivity, rate of false statements), counted as so many statements.
 TRUST_NEWEST, TRUST_OLDER, TRUST_WEIGHT = (0.95, 0.05), (0.5, 0.5), 20.0
@@ -112,8 +112,8 @@ def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, p
             known = known.join(priors, "source", "left")
         else:
             known = known.withColumns({"sens": F.lit(None).cast("double"), "fpr": F.lit(None).cast("double")})
-        believed = cut(known.select("source", F.coalesce("sens", F.lit(0.6)).alias("sens0"), F.coalesce("fpr", F.lit(0.1)).alias("fpr0")))
-        quality = believed.select("source", col("sens0").alias("sens"), col("fpr0").alias("fpr"))
+        believed = known.select("source", F.coalesce("sens", F.lit(0.6)).alias("sens0"), F.coalesce("fpr", F.lit(0.1)).alias("fpr0"))
+        quality = cut(believed.select("source", "sens0", "fpr0", col("sens0").alias("sens"), col("fpr0").alias("fpr")))
         deny = F.log((1 - col("sens")) / (1 - col("fpr")))
         share = log(prior_true / (1 - prior_true))
 
@@ -122,22 +122,24 @@ def latent_truth(claims: DataFrame, rounds: int = 60, tolerance: float = 1e-3, p
             named = names.join(q, "source").groupBy("shape", "by").agg(F.first("n").alias("n"), F.sum(F.log(col("sens") / col("fpr")) - deny).alias("more"))
             return named.join(denied, "shape").select("shape", "by", "n", (1 / (1 + F.exp(-(col("base") + col("more") + share)))).alias("p"))
 
-        for _ in range(rounds):
-            p = judge(quality)
+        for turn in range(rounds):
+            p = cut(judge(quality))
             said = p.select("n", "p", F.explode("by").alias("source")).groupBy("source").agg(F.sum(col("n") * col("p")).alias("t1"), F.sum(col("n") * (1 - col("p"))).alias("f1"))
             whole = p.groupBy("shape").agg(F.sum(col("n") * col("p")).alias("t"), F.sum(col("n") * (1 - col("p"))).alias("f"))
             spoke = speaks.join(whole, "shape").groupBy("source").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
             new = cut(
-                said.join(spoke, "source").join(believed, "source").join(quality.select("source", col("sens").alias("s"), col("fpr").alias("q")), "source").select(
-                    "source",
+                said.join(spoke, "source").join(quality.withColumnsRenamed({"sens": "s", "fpr": "q"}), "source").select(
+                    "source", "sens0", "fpr0",
                     ((col("t1") + weight * col("sens0")) / (col("t") + weight)).alias("sens"),
                     ((col("f1") + weight * col("fpr0")) / (col("f") + weight)).alias("fpr"), "s", "q",
                 )
             )
             moved = new.agg(F.max(F.greatest(F.abs(col("sens") - col("s")), F.abs(col("fpr") - col("q"))))).first()[0]
-            quality = new.select("source", "sens", "fpr")
+            quality = new.drop("s", "q")
             if moved is None or moved <= tolerance:
                 break
+            if turn % 2:
+                release(claims.sparkSession)
         judged = judge(quality).select("shape", "by", col("p").alias("probability"))
         truth = stated.join(shapes.select("entity", "shape"), "entity").join(judged, ["shape", "by"]).select("entity", "value", "probability")
         return cut(truth, keep=True), cut(quality.select("source", col("sens").alias("sensitivity"), (1 - col("fpr")).alias("specificity")), keep=True)
