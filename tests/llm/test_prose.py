@@ -1,6 +1,6 @@
 import random
 
-from twintable.llm.prose import FUNCTION, LINK, LISTED, classify, odd_share, odd_texts, plain
+from twintable.llm.prose import FUNCTION, LINK, LISTED, _language, classify, odd_share, odd_texts, plain
 
 PROSE = [
     "I bought this lamp for my daughter and it has been on her desk since the winter.",
@@ -113,3 +113,10 @@ def test_phrases_said_over_and_over_are_a_case_by_the_low_side_alone(spark):
     low_only = odd_share(df, "doc_id", "text", high=1e9).where("share > 0.5")
     assert {r.id for r in low_only.collect()} == set(range(200, 204))
     assert odd_share(df, "doc_id", "text", high=1e9, low=0.0).where("share > 0").count() == 0
+
+
+def test_script_is_told_by_the_whole_text():
+    for lang, ends in (("ru", "pl"), ("el", "cs"), ("zh", "tr")):
+        text = " ".join(OTHER[ends]) + " " + " ".join(OTHER[lang] * 40) + " " + " ".join(OTHER[ends])
+        alone, whole = (_language(t, kinds, words) for t in (" ".join(OTHER[lang]), text) for kinds, _, words in [classify(t)])
+        assert alone[0] > 1 and whole == (alone[0], True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,7 @@ _HANGUL_START = regex.compile(r"\p{Hangul}")
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _HAN, _KANA = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _SCRIPTS = [regex.compile(rf"\p{{{x}}}") for x in ("Latin", "Cyrillic", "Greek", "Han", "Arabic", "Hebrew", "Thai", "Devanagari")]
+_LETTERS: dict[str, int] = {}  # the place of a letter's script in _SCRIPTS, as far as met
 _LOOKALIKE = regex.compile(r"\p{Cyrillic}|\p{Greek}")
 _LATIN_WORD = regex.compile(r"[\p{L}\p{N}]*[A-Za-z][\p{L}\p{N}]*")
 _LOOKALIKE_WORD = regex.compile(r"\p{Cyrillic}+|\p{Greek}+")
@@ -159,6 +161,17 @@ def _contexts(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, one
 
 
+def _main_script(text: str) -> int:
+    """1 + the number of the script with most letters in the whole text; 1 if it has none."""
+    found = np.zeros(len(_SCRIPTS), int)
+    for letter, n in Counter(text).items():
+        if letter not in _LETTERS:
+            _LETTERS[letter] = next((i for i, x in enumerate(_SCRIPTS) if x.match(letter)), -1)
+        if _LETTERS[letter] >= 0:
+            found[_LETTERS[letter]] += n
+    return 1 + int(np.argmax(found))
+
+
 def _language(text: str, kinds: bytes, words: bytes) -> tuple[int, bool]:
     """0, or the number of the main script of a text that lacks known function words; and whether it has sentences nevertheless.
 
@@ -170,8 +183,7 @@ def _language(text: str, kinds: bytes, words: bytes) -> tuple[int, bool]:
     n = int(word.sum())
     if n < 8 or _IS_FUNCTION[k].sum() >= FEW_FUNCTION * n:
         return 0, False
-    text = text[:400] + text[-400:]  # the script alone is told by the ends of a text
-    script = 1 + int(np.argmax([len(x.findall(text)) for x in _SCRIPTS]))
+    script = _main_script(text)
     end = k == END
     sentence = np.concatenate([[0], np.cumsum(end)[:-1]])
     total = int(end.sum())
