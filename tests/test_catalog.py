@@ -207,3 +207,50 @@ def test_hashing_prunes_and_finds(spark):
     assert len(exact) > 500 and found <= exact and len(found) >= 0.9 * len(exact)
     tried = similarity.lsh_candidates(df.select(F.col("full_table_name").alias("name"), F.col("embedding").alias("v")), 30, 10, 42).count()
     assert tried < 0.12 * 600 * 599 / 2
+
+
+def moved(spark, run):
+    """Rows that ``run`` writes to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def grouped(spark, n=400):
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((n // 5, 16))[rng.integers(0, n // 5, n)] + 0.3 * rng.standard_normal((n, 16))
+    return spark.createDataFrame([(f"t{i:03}", v.tolist()) for i, v in enumerate(x)], "full_table_name string, embedding array<double>"), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("threshold", [None, 0.5])
+def test_neighbours_are_found_without_copies_of_the_vectors(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    df, u = grouped(spark)
+    s = u @ u.T
+    want = {(f"t{i:03}", f"t{j:03}") for i in range(400) for j in [j for j in np.lexsort((np.arange(400), -np.round(s[i], 9))) if j != i][:5] if threshold is None or s[i, j] >= threshold}
+    got = []
+    assert moved(spark, lambda: got.extend(similarity.top_neighbors(df, k=5, threshold=threshold).collect())) < 400 * 10
+    assert {(r.source_table, r.target_table) for r in got} == want and len(got) == len(want)
+    assert any(r.similarity_score != round(r.similarity_score, 9) for r in got)  # rounded by the caller, once
+
+
+def test_pairs_and_hashing_without_copies_of_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "GROUP_BYTES", 30_000)
+    df, u = grouped(spark)
+    s, names = u @ u.T, [f"t{i:03}" for i in range(400)]
+    want = {(names[i], names[j]) for i, j in itertools.combinations(range(400), 2) if s[i, j] >= 0.8}
+    keys = similarity._keys(u, 3, 6, 42)
+    share = {(a, b) for a, b in want if (keys[names.index(a)] == keys[names.index(b)]).any()}
+    pairs, hashed = [], []
+    assert moved(spark, lambda: pairs.extend(similarity.cosine_pairs(df, threshold=0.8).collect())) < 400 * 5 + len(want)
+    assert moved(spark, lambda: hashed.extend(similarity.lsh_pairs(df, threshold=0.8, tables=3, bits=6).collect())) < 400 * 5 + len(want)
+    assert {(r.table_a, r.table_b) for r in pairs} == want and len(pairs) == len(want)
+    assert {(r.table_a, r.table_b) for r in hashed} == share and len(hashed) == len(share) and 0 < len(share) < len(want)
