@@ -24,8 +24,8 @@ from twintable.runtime import checkpoint_dir, cut, parallelism, release, scratch
 BLOCK, BLOCK_BYTES, LEAST_BLOCK = 16_384, 8 << 20, 4_096
 #: Products held at a time; columns that are looked through together, once their largest product is high enough.
 PRODUCTS, LANES = 1 << 21, 256
-#: Bytes of vectors that a task of the hashing holds, unless one bucket alone has more.
-GROUP_BYTES = 64 << 20
+#: Bytes of vectors in double precision (half as many where single holds them) for a task of the hashing, unless one bucket alone has more.
+GROUP_BYTES = 128 << 20
 
 
 def embedding_array(df: DataFrame, column: str = "embedding") -> Column:
@@ -293,14 +293,14 @@ def lsh_pairs(
     blocks, size = _blocks(some, (tables, bits, seed))
     groups = max(1, ceil(size / GROUP_BYTES))
 
-    def bucket(x: np.ndarray, rows: np.ndarray, keys: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of the ``rows``, which share a key in draw ``t``, that reach the threshold and share none in a draw before."""
-        x32, out = x[rows].astype(np.float32), []
-        step = max(1, PRODUCTS // len(rows))
-        for i in range(0, len(rows), step):
+    def bucket(x: np.ndarray, keys: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of the vectors, which share a key in draw ``t``, that reach the threshold and share none in a draw before."""
+        x32, out = x.astype(np.float32), []
+        step = max(1, PRODUCTS // len(x))
+        for i in range(0, len(x), step):
             a, b = np.nonzero(x32[i : i + step] @ x32[i:].T >= np.float32(least - _margin(x.shape[1])))
             fine = a < b
-            a, b = rows[a[fine] + i], rows[b[fine] + i]
+            a, b = a[fine] + i, b[fine] + i
             first = np.ones(len(a), bool)
             for u in range(t):
                 first &= keys[a, u] != keys[b, u]
@@ -322,11 +322,11 @@ def lsh_pairs(
             order = np.argsort(at)
             x, keys, names = (np.concatenate([p[k] for p in parts])[order] for k in (0, 1, 3))
             parts.clear()
-            x = _unit(x)
             order = np.argsort(keys[:, t], kind="stable")
             for rows in np.split(order, np.nonzero(np.diff(keys[order, t]))[0] + 1):
                 if len(rows) > 1:
-                    a, b, value = bucket(x, rows, keys, t)
+                    a, b, value = bucket(_unit(x[rows]), keys[rows], t)
+                    a, b = rows[a], rows[b]
                     fine = names[a] != names[b]
                     yield from zip(names[a][fine].tolist(), names[b][fine].tolist(), value[fine].tolist())
 
