@@ -102,3 +102,17 @@ def test_binary_tree_takes_a_round_per_level(spark, monkeypatch):
         below[i] = sum(1 + below[c] for c in (2 * i, 2 * i + 1) if c < n)
     assert 1 <= steps <= 10
     assert rows == {(f"n{i}", "n1", i.bit_length() - 1, 0, below[i]) for i in range(1, n)}
+
+
+def test_rounds_inside_a_core_release_what_they_held(spark, monkeypatch):
+    from twintable.operators import hierarchy as module
+
+    released, real = [], module.release
+    monkeypatch.setattr(module, "release", lambda s: released.append(real(s)))
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "b"), ("x", "y"), ("y", "x"), ("c", "x"), ("in", "a"), ("y", "out")]
+    df = spark.createDataFrame([(*x, 1) for x in links], "src string, dst string, w int")
+    nodes = df.selectExpr("src as n").union(df.selectExpr("dst")).distinct()
+    parts = {r.n: r.part for r in module.strong_parts(nodes, df).collect()}
+    assert set(parts) == {"a", "b", "c", "x", "y"} and parts["x"] == parts["y"] != parts["a"] == parts["b"] == parts["c"]
+    assert len(released) >= 4
+    assert module.strong_parts(nodes, df.limit(0)).isEmpty()

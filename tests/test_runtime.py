@@ -45,3 +45,10 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     with pytest.raises(ZeroDivisionError), runtime.scratch(spark):
         1 / 0
     assert runtime.cut(df).count() == 10
+
+
+def test_release_gives_native_memory_back(spark, monkeypatch):
+    trimmed, real = [], runtime.trim
+    monkeypatch.setattr(runtime, "trim", lambda s: trimmed.append(real(s)))
+    runtime.release(spark)
+    assert trimmed == [True]

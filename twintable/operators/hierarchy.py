@@ -60,16 +60,17 @@ def _gain(nodes: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def _rake(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> tuple | None:
-    """Removes the nodes without children. Returns the record of the step and what is left, None if there are none."""
+    """Removes the nodes without children. Returns their number, the record of the step and what is left, None if there are none."""
     col = F.col
     parents = edges.groupBy("dst").agg(F.count("*").alias("i"), F.max("src").alias("par")).withColumnRenamed("dst", "n")
-    leaves = nodes.join(edges.select(col("src").alias("n")), "n", "left_anti")
+    childless = nodes.join(edges.select(col("src").alias("n")), "n", "left_anti")
     gone = cut(
-        leaves.join(parents, "n", "left").select(
+        childless.join(parents, "n", "left").select(
             "n", "weight", "is_root", "own_cycle", F.coalesce("i", F.lit(0)).alias("i"), "par", F.lit(None).cast("string").alias("chd"), _no_names(paths).alias("vi"), F.lit(True).alias("leaf")
         )
     )
-    if gone.isEmpty():
+    leaves = gone.count()
+    if not leaves:
         return None
     ids = gone.select("n")
     down, own = cut_all(
@@ -85,7 +86,7 @@ def _rake(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -> t
         edges.join(ids.withColumnRenamed("n", "dst"), "dst", "left_anti"),
         _union([sets.join(ids.withColumnRenamed("n", "owner"), "owner", "left_anti"), lifted, shared]).distinct(),
     )
-    return step, *left
+    return leaves, step, *left
 
 
 def _doubled(jumps: DataFrame, paths: bool) -> DataFrame:
@@ -132,7 +133,7 @@ def _places(unary: DataFrame, paths: bool) -> DataFrame:
 
 
 def _compress(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool, worth: float) -> tuple | None:
-    """Replaces every chain by one link and every ring by one node. Returns like ``_rake``; None if no more than ``worth`` nodes would go."""
+    """Replaces every chain by one link and every ring by one node. Returns the record of the step and what is left; None if no more than ``worth`` nodes would go."""
     col, zero = F.col, F.lit(0)
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>" if paths else "boolean")
     ends = edges.select(col("src").alias("n"), F.lit(1).alias("o"), zero.alias("i"), none.alias("par"), col("dst").alias("chd"), zero.alias("wi"), col("w").alias("wo"), nothing.alias("vi"), col("via").alias("vo"))
@@ -190,9 +191,8 @@ def contract(nodes: DataFrame, edges: DataFrame, sets: DataFrame, paths: bool) -
         raked = _rake(nodes, edges, sets, paths)
         leaves = 0
         if raked:
-            step, nodes, edges, sets = raked
+            leaves, step, nodes, edges, sets = raked
             steps.append(step)
-            leaves = step["gone"].count()
             release(nodes.sparkSession)
         compressed = _compress(nodes, edges, sets, paths, COMPRESS_SHARE * leaves)
         if compressed:
@@ -215,7 +215,7 @@ def _facts(paths: bool, node, kind: int, key, val, path=None) -> list:
 
 def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
     """Facts of all nodes: those given, and of the nodes removed in each round, the last round first."""
-    every, done = Growing(facts), 0
+    every = Growing(facts)
     col, blank = F.col, F.lit("")
     for step in reversed(rounds):
         gone, known = step["gone"], every.read()
@@ -264,9 +264,7 @@ def _undo(rounds: list[dict], facts: DataFrame, paths: bool) -> DataFrame:
             )
         )
         every.add(rows)
-        done += 1
-        if done % 2 == 0:
-            release(facts.sparkSession)
+        release(facts.sparkSession)
     return every.read()
 
 
@@ -278,16 +276,19 @@ def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     found: list[DataFrame] = []
     e = cut(edges.select("src", "dst"))
+    n = e.count()
     while True:
-        while True:
+        while n:
             kept = cut(
                 e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
                 .join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             )
-            if kept.count() == e.count():
+            before, n = n, kept.count()
+            release(e.sparkSession)
+            if n == before:
                 break
             e = kept
-        if e.isEmpty():
+        if not n:
             break
         colour = cut(e.select(F.col("src").alias("n")).distinct().withColumn("c", F.col("n")))
         while True:
@@ -295,6 +296,7 @@ def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             new = cut(colour.withColumn("was", F.col("c")).unionByName(told.withColumn("was", F.lit(None).cast("string"))).groupBy("n").agg(F.max("c").alias("c"), F.max("was").alias("was")))
             moved = not new.where("c <> was").isEmpty()
             colour = new.select("n", "c")
+            release(e.sparkSession)
             if not moved:
                 break
         same = cut(
@@ -302,17 +304,19 @@ def strong_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .join(colour.select(F.col("n").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))
         )
         reach = cut(colour.where("n = c").select("n", "c"))
+        size = reach.count()
         while True:
             more = same.join(reach.withColumnRenamed("n", "dst"), ["dst", "c"]).select(F.col("src").alias("n"), "c")
-            new = cut(reach.unionByName(more).distinct())
-            grown = new.count() > reach.count()
-            reach = new
-            if not grown:
+            reach = cut(reach.unionByName(more).distinct())
+            before, size = size, reach.count()
+            release(e.sparkSession)
+            if size == before:
                 break
-        size = reach.groupBy("c").agg(F.count("*").alias("k"))
-        found.append(cut(reach.join(size.where("k > 1").select("c"), "c").select("n", F.col("c").alias("part"))))
+        sizes = reach.groupBy("c").agg(F.count("*").alias("k"))
+        found.append(cut(reach.join(sizes.where("k > 1").select("c"), "c").select("n", F.col("c").alias("part"))))
         done = reach.select("n")
         e = cut(e.join(done.withColumnRenamed("n", "src"), "src", "left_anti").join(done.withColumnRenamed("n", "dst"), "dst", "left_anti"))
+        n = e.count()
     if not found:
         return nodes.select("n", F.col("n").alias("part")).limit(0)
     return cut(_union(found))
@@ -332,6 +336,7 @@ def _core_distances(nodes: DataFrame, edges: DataFrame, paths: bool) -> DataFram
         best = both.groupBy("node", "kind", "key").agg(F.min(F.struct("val", "path")).alias("m"), F.min(F.when(col("old") == 1, F.struct("val", "path"))).alias("before"))
         new = cut(best.select("node", "kind", "key", "m.val", "m.path", (F.col("before").isNull() | (F.col("m") < F.col("before"))).alias("new")))
         known, front = new.drop("new"), new.where("new").drop("new")
+        release(new.sparkSession)
     return known
 
 

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 import twintable
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,9 +122,28 @@ def release(spark: SparkSession) -> None:
 
     Spark drops shuffle files, broadcasts and generated code when the driver's garbage collector finds their plans
     unused. An operator that runs many small jobs fills disks and the driver long before that happens by itself.
+    What the JVM has freed outside of its heap (compilers, codecs) goes back to the system too: the C library would
+    keep it in the pools of the threads that had it.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Gives freed native memory of the driver's JVM back to the system; False where the JVM has no such command."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kind, management = jvm.java.lang.Class.forName, jvm.java.lang.management.ManagementFactory
+    try:
+        # The server's own class is hidden from callers, so that its interface has to be named.
+        kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = kind(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(management.getPlatformMBeanServer(), values)
+    except Py4JError:  # another system or an older JVM
+        return False
+    return True
 
 
 def parallelism(spark: SparkSession) -> int:
