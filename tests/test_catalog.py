@@ -254,3 +254,13 @@ def test_pairs_and_hashing_without_copies_of_the_vectors(spark, monkeypatch):
     assert moved(spark, lambda: hashed.extend(similarity.lsh_pairs(df, threshold=0.8, tables=3, bits=6).collect())) < 400 * 5 + len(want)
     assert {(r.table_a, r.table_b) for r in pairs} == want and len(pairs) == len(want)
     assert {(r.table_a, r.table_b) for r in hashed} == share and len(hashed) == len(share) and 0 < len(share) < len(want)
+
+
+def test_floats_are_stored_as_floats(spark, monkeypatch):
+    written, real = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df: written.append(df.schema["v"].dataType.simpleString()) or real(df))
+    wide, _ = grouped(spark, 200)
+    floats = wide.selectExpr("full_table_name", "cast(embedding as array<float>) as embedding")
+    near = [sorted(map(tuple, similarity.top_neighbors(x, k=5, threshold=0.5).collect())) for x in (floats, floats.selectExpr("full_table_name", "cast(embedding as array<double>) as embedding"), wide)]
+    assert written == ["array<float>", "array<double>", "array<double>"]
+    assert near[0] == near[1] and len(near[0]) > 200

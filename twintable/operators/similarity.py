@@ -33,9 +33,10 @@ def embedding_array(df: DataFrame, column: str = "embedding") -> Column:
     return vector_to_array(column) if df.schema[column].dataType.typeName() == "vectorudt" else as_doubles(column)
 
 
-def _vectors(df: DataFrame, name: str, vector: str) -> DataFrame:
-    """``name, v``: vectors without null entries; others can be similar to nothing."""
-    v = df.select(F.col(name).alias("name"), embedding_array(df, vector).alias("v"))
+def _vectors(df: DataFrame, name: str, vector: str, narrow: bool = False) -> DataFrame:
+    """``name, v``: vectors without null entries; others can be similar to nothing. ``narrow`` leaves those of floats as they are."""
+    floats = narrow and df.schema[vector].dataType.simpleString() == "array<float>"
+    v = df.select(F.col(name).alias("name"), (F.col(vector) if floats else embedding_array(df, vector)).alias("v"))
     return v.where(F.col("name").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
@@ -101,6 +102,7 @@ def _blocks(v: DataFrame, hashes: tuple[int, int, int] | None = None) -> tuple[R
     spark = v.sparkSession
     with scratch(spark):
         v = cut(v.where(F.forall("v", lambda x: F.abs(x) < F.lit(float("inf")))).withColumn("dims", F.size("v")))
+        release(spark)  # the shuffles that made the vectors
         n, dims = v.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(1))).first()
         size = min(BLOCK, max(1, BLOCK_BYTES // (8 * dims)), max(LEAST_BLOCK, ceil(n / (3 * parallelism(spark)))))
         most = size + size // 2  # ranges are about equal
@@ -204,7 +206,7 @@ def cosine_pairs(df: DataFrame, name: str = "full_table_name", vector: str = "em
                 yield from zip(na[fine].tolist(), nb[fine].tolist(), value[fine].tolist())
 
     kind = df.schema[name].dataType.simpleString()
-    blocks, _ = _blocks(_vectors(df, name, vector))
+    blocks, _ = _blocks(_vectors(df, name, vector, narrow=True))
     found = df.sparkSession.createDataFrame(_by_all(blocks, blocks).mapPartitions(run), f"table_a {kind}, table_b {kind}, cosine_similarity double", verifySchema=False)
     return found.orderBy(F.desc("cosine_similarity"), "table_a", "table_b")
 
@@ -255,7 +257,7 @@ def top_neighbors(df: DataFrame, name: str = "full_table_name", vector: str = "e
             yield from zip(names[x].tolist(), who[x, y].tolist(), whole[x, y].tolist())
 
     kind = df.schema[name].dataType.simpleString()
-    blocks, _ = _blocks(_vectors(df, name, vector))
+    blocks, _ = _blocks(_vectors(df, name, vector, narrow=True))
     found = df.sparkSession.createDataFrame(_by_all(blocks, blocks).mapPartitions(run), f"source_table {kind}, target_table {kind}, similarity_score double", verifySchema=False)
     w = Window.partitionBy("source_table").orderBy(F.round("similarity_score", 9).desc(), "target_table")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
@@ -289,7 +291,7 @@ def lsh_pairs(
     from the first draw in which it shares one.
     """
     least = threshold - 1e-12
-    some = _vectors(df, name, vector).where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
+    some = _vectors(df, name, vector, narrow=True).where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
     blocks, size = _blocks(some, (tables, bits, seed))
     groups = max(1, ceil(size / GROUP_BYTES))
 
