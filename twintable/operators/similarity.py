@@ -102,8 +102,8 @@ def _blocks(v: DataFrame, hashes: tuple[int, int, int] | None = None) -> tuple[R
     spark = v.sparkSession
     with scratch(spark):
         v = cut(v.where(F.forall("v", lambda x: F.abs(x) < F.lit(float("inf")))).withColumn("dims", F.size("v")))
-        release(spark)  # the shuffles that made the vectors
         n, dims = v.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(1))).first()
+        release(spark)  # the shuffles that made the vectors, once their job is done with
         size = min(BLOCK, max(1, BLOCK_BYTES // (8 * dims)), max(LEAST_BLOCK, ceil(n / (3 * parallelism(spark)))))
         most = size + size // 2  # ranges are about equal
 
